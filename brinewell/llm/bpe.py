@@ -19,7 +19,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import in_groups, pick
 
 #: Fixed value: the split pattern of byte-level pre-tokenisation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,19 +161,6 @@ class ForcedBoundaryBpe:
         return out
 
 
-def in_groups(texts: list[str], most: int = CHUNK):
-    """Consecutive texts of about `most` characters together; a longer one is on its own."""
-    group, n = [], 0
-    for t in texts:
-        if group and n + len(t) > most:
-            yield group
-            group, n = [], 0
-        group.append(t)
-        n += len(t)
-    if group:
-        yield group
-
-
 _made: dict[int, ForcedBoundaryBpe] = {}
 
 
@@ -205,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
         bpe = tokenizer(spec.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            made = [m for group in in_groups(texts) for m in bpe.digests(group)]
+            made = [m for group in in_groups(texts, CHUNK) for m in bpe.digests(group)]
             cols = [batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())]
             if with_ids:
                 cols.append(pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int64())))

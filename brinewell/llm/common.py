@@ -56,3 +56,16 @@ def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. lower() does just that on pure ASCII and is far faster than translate()."""
     slow = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(slow)
+
+
+def in_groups(texts: list[str], most: int):
+    """Consecutive texts of about `most` characters together; a longer one is on its own."""
+    group, n = [], 0
+    for t in texts:
+        if group and n + len(t) > most:
+            yield group
+            group, n = [], 0
+        group.append(t)
+        n += len(t)
+    if group:
+        yield group
