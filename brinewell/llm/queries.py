@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, langid, pii, sharding, simhash, warc
+from . import bpe, decontam, exact_dedup, langid, pii, sharding, simhash, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": lambda s, d: langid.identify(table(s, d, "documents")),
         "op2_personal_data": lambda s, d: pii.find_personal_data(table(s, d, "documents")).drop("row", "marks"),
+        "op3_suffix_dedup": lambda s, d: suffix_dedup.remove_repeats(table(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontam.leaks(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op7_simhash_dedup": lambda s, d: simhash.simhash_dedup(table(s, d, "documents")),
