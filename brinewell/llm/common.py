@@ -6,7 +6,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,17 @@ def in_groups(texts: list[str], most: int):
         n += len(t)
     if group:
         yield group
+
+
+def ranked_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with rank (from 0, gapless, in the given order) and total.
+
+    The rows are dealt out by range and sorted, and a row's rank is its place in its partition plus the sizes of those
+    before. Only those sizes, one for each partition, meet in one task and are broadcast; identical rows rank in any order.
+    """
+    ranged = written(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    parts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    joined = placed.join(F.broadcast(parts), F.shiftright(placed["_at"], 33) == parts["_part"])
+    return joined.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_n", "_before")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact_dedup, langid, pii, sharding, simhash, suffix_dedup, warc
+from . import bpe, chat, decontam, exact_dedup, langid, pii, sharding, simhash, suffix_dedup, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": lambda s, d: suffix_dedup.remove_repeats(table(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontam.leaks(table(s, d, "documents"), table(s, d, "benchmark")),
         "op5_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
+        "op6_tool_calls": lambda s, d: chat.link_turns(table(s, d, "conversations")),
         "op7_simhash_dedup": lambda s, d: simhash.simhash_dedup(table(s, d, "documents")),
         "op8_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
         "op9_hilbert_sharding": lambda s, d: sharding.shard_by_hilbert(table(s, d, "documents")),

@@ -7,10 +7,10 @@ of a shard have narrow ranges in all three and prune on any of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, ranked_rows
 
 BITS, DIMS = 4, 3
 
@@ -65,12 +65,7 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 16) -> DataFrame:
         .select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
         .select("doc_id", "size", "text_crc32", F.get(F.lit(hilbert_cells()), cell).alias("hilbert"))
     )
-    ranged = written(rows).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()))
-    runs = placed.groupBy(F.shiftright("at", 33).alias("run")).agg(F.count("*").alias("n"))
-    runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    ranked = placed.join(F.broadcast(runs), F.shiftright(placed["at"], 33) == runs["run"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).withColumn("shard", F.expr(f"int(rank * {shards} div total)"))
+    ranked = ranked_rows(rows, order).withColumn("shard", F.expr(f"int(rank * {shards} div total)"))
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         F.expr(f"rank - (shard * total + {shards - 1}) div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert",
