@@ -15,12 +15,12 @@ from .common import ascii_lower, pick, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the normalised text), verify (a second hash and the length of the same text), run."""
+    """doc_id, digest (SHA-256 of the normalised text), verify (a second hash and the length of the same text), run, raw (a hash of the text as it is)."""
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return (
         pick(docs, "doc_id", "text")
-        .select("doc_id", text.alias("t"), F.spark_partition_id().alias("run"))
-        .select("doc_id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("n")).alias("verify"), "run")
+        .select("doc_id", text.alias("t"), F.spark_partition_id().alias("run"), F.xxhash64("text").alias("raw"))
+        .select("doc_id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("n")).alias("verify"), "run", "raw")
     )
 
 
@@ -42,6 +42,16 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
     (keep="min": the smallest). Repeated rows with the surviving doc_id are all marked kept. A group whose every doc_id is
     null has keep_id null and kept false, unless the group has a single row, which is kept. Empty input: no rows.
     """
+    return _grouped(docs, keep).drop("raw")
+
+
+def survivors(docs: DataFrame, keep: str = "max") -> DataFrame:
+    """The documents, with all their columns, that stay; rows with a null doc_id always do."""
+    gone = _grouped(docs, keep).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), "raw")
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("raw")), "left_anti")
+
+
+def _grouped(docs: DataFrame, keep: str) -> DataFrame:
     rows = written(digests(docs))
     groups = merge_runs(rows, keep).filter("group_size > 1").withColumnsRenamed({"digest": "g_digest", "verify": "g_verify"})
     joined = rows.join(groups, (F.col("digest") == F.col("g_digest")) & (F.col("verify") == F.col("g_verify")), "left")
@@ -52,4 +62,5 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(grouped, F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))).otherwise(F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "raw",
     )

@@ -308,3 +308,16 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double")
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents, with all their columns, that aren't rejected. Nothing is shuffled: each task filters its batches."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            made = [shared.value.predict(g)[2] for g in in_groups([t or "" for t in batch.column(at).to_pylist()], CHUNK)]
+            yield batch.filter(pa.array(~np.concatenate(made) if made else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -81,15 +81,15 @@ def fingerprints(texts: list[bytes], n: int) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) of every row; null and empty texts have fp 0."""
+    """doc_id, fp (64 bits as a signed long), raw (a hash of the text) of every row; null and empty texts have fp 0."""
 
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts, shingle).astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts, shingle).astype(np.int64)), batch.column(2)], ["doc_id", "fp", "raw"])
 
-    picked = pick(docs, "doc_id", "text")
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
+    picked = pick(docs, "doc_id", "text").withColumn("raw", F.xxhash64("text"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long, raw long")
 
 
 def _syndrome(w: np.ndarray) -> np.ndarray:
@@ -225,13 +225,13 @@ def fingerprint_links(classes: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def components(prints: DataFrame, threshold: int = 2) -> DataFrame:
-    """prints (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id reachable over links, its own included."""
+    """prints (doc_id, fp, raw) -> those and component_id: the smallest doc_id reachable over links, its own included."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(classes, threshold))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     of = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(of, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return prints.join(of, F.col("fp") == F.col("f")).select("doc_id", "fp", "raw", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
@@ -246,6 +246,13 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> Data
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """The documents, with all their columns, whose doc_id names their component; rows with a null doc_id always stay."""
+    prints = written(fingerprint_documents(docs, shingle))
+    gone = components(prints, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), "raw")
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("raw")), "left_anti")
+
+
 def replicas(threshold: int = 2) -> int:
     """Most anchors that a fingerprint can go to: the bound on the growth of the replicated table."""
     per = [comb(BLOCK, k) for k in range(threshold + 1)]
