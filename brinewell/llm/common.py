@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +15,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def position(df: DataFrame, name: str) -> int | None:
+    """Place of a column: an exact match goes before one that differs in case."""
+    at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return at[0] if at else None
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, …, so that no name of the input clashes with one of ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; an exact match goes before one that differs in case, a missing column is null.
+    """Only the named columns; a missing one is null. Other columns, whatever they are called, never reach the operator."""
+    rows, at = plain(df), {n: position(df, n) for n in names}
+    return rows.select(*[(F.lit(None).cast("string") if at[n] is None else rows[f"c{at[n]}"]).alias(n) for n in names])
 
-    Other columns, whatever they are called, never reach the operator.
-    """
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    out = []
-    for name in names:
-        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        out.append((plain[f"c{at[0]}"] if at else F.lit(None).cast("string")).alias(name))
-    return plain.select(*out)
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, with all their columns, less the rows whose doc_id and text hash are in gone (_gone, raw)."""
+    rows = plain(docs)
+    key, text = rows[f"c{position(docs, 'doc_id')}"], rows[f"c{position(docs, 'text')}"]
+    return rows.join(gone, (key == F.col("_gone")) & (F.xxhash64(text) == F.col("raw")), "left_anti").toDF(*docs.columns)
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """docs, with all their columns, where keep(list of texts) -> booleans holds. Nothing is shuffled."""
+    at = position(docs, "text")
+    rows = plain(docs)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_groups, pick
+from .common import filtered, in_groups, pick
 
 Q = 8
 #: Edits allowed per byte of a normalised item.
@@ -214,18 +214,16 @@ def _search(docs: DataFrame, block: list[tuple], rate: float, schema) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents, with all their columns, in which no item occurs. Nothing is shuffled: each task filters its batches."""
+    """The documents, with all their columns, in which no item occurs; null and empty texts stay."""
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Finder(block, rate))
-        at = docs.columns.index("text")
 
-        def run(batches, shared=shared, at=at):
-            for batch in batches:
-                bad, before = set(), 0
-                for group in in_groups([normalised(t or "") for t in batch.column(at).to_pylist()], CHUNK):
-                    bad |= {before + found[0] for found in shared.value.find(group)}
-                    before += len(group)
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+        def keep(texts: list[str], shared=shared) -> list[bool]:
+            bad, before = set(), 0
+            for group in in_groups([normalised(t) for t in texts], CHUNK):
+                bad |= {before + found[0] for found in shared.value.find(group)}
+                before += len(group)
+            return [i not in bad for i in range(len(texts))]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered(docs, keep)
     return docs

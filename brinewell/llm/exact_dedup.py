@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick, written
+from .common import ascii_lower, pick, without, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
 def survivors(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The documents, with all their columns, that stay; rows with a null doc_id always do."""
     gone = _grouped(docs, keep).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"), "raw")
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("raw")), "left_anti")
+    return without(docs, gone)
 
 
 def _grouped(docs: DataFrame, keep: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, pick, written
+from .common import filtered, in_groups, pick, written
 
 ORDER, BITS = 4, 6
 OTHER, PAD = 62, 63
@@ -311,13 +311,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents, with all their columns, that aren't rejected. Nothing is shuffled: each task filters its batches."""
+    """The documents, with all their columns, that aren't rejected: those without a letter go, and those unlike any language."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            made = [shared.value.predict(g)[2] for g in in_groups([t or "" for t in batch.column(at).to_pylist()], CHUNK)]
-            yield batch.filter(pa.array(~np.concatenate(made) if made else np.zeros(0, bool)))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda texts: [not r for g in in_groups(texts, CHUNK) for r in shared.value.predict(g)[2].tolist()])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, without, written
 from .graph import connected_components
 
 BLOCK, MESSAGE, RADIUS = 23, 12, 3
@@ -250,7 +250,7 @@ def representatives(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> Da
     """The documents, with all their columns, whose doc_id names their component; rows with a null doc_id always stay."""
     prints = written(fingerprint_documents(docs, shingle))
     gone = components(prints, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), "raw")
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("raw")), "left_anti")
+    return without(docs, gone)
 
 
 def replicas(threshold: int = 2) -> int:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import pick, written
 
 CHUNK = 1 << 20
+#: Chunks after which a task begins a new archive.
+CHUNKS = 32
 #: Payloads below this many bytes are always stored.
 SMALLEST_REVISIT = 100
 #: Fixed values of the format.
@@ -133,23 +135,27 @@ def planned(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(plan: DataFrame) -> DataFrame:
-    """archive, place, data: each task's records as one archive, in chunks of about CHUNK bytes, in the shared folder."""
+    """archive, place, data: each task's records as archives of CHUNKS chunks of about CHUNK bytes, in the shared folder."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        archive, place, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, chunk, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([task + chunk // CHUNKS], pa.int64()), pa.array([chunk % CHUNKS], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["archive", "place", "data"])
+
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(record(page_id, url, payload, refers_to))
                 size += len(held[-1])
                 if size >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([place]), pa.array([b"".join(held)])], ["archive", "place", "data"])
-                    place, held, size = place + 1, [], 0
+                    yield made()
+                    chunk, held, size = chunk + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([place]), pa.array([b"".join(held)])], ["archive", "place", "data"])
+            yield made()
 
-    return written(plan.mapInArrow(run, "archive int, place long, data binary"))
+    return written(plan.mapInArrow(run, "archive long, place long, data binary"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -206,7 +212,7 @@ def export(archives: DataFrame, folder: str) -> list[str]:
     os.makedirs(folder, exist_ok=True)
     for row in archives.orderBy("archive", "place").toLocalIterator():
         new = row["archive"] not in paths
-        path = paths.setdefault(row["archive"], os.path.join(folder, f"pages-{row['archive']:05d}.warc.gz"))
+        path = paths.setdefault(row["archive"], os.path.join(folder, f"pages-{row['archive']:016x}.warc.gz"))
         with open(path, "wb" if new else "ab") as f:
             f.write(row["data"])
     return sorted(paths.values())
