@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, pick
+from .common import in_groups, pick, written
 from .suffix_sort import suffix_array
 
 LENGTH, Q = 200, 32
@@ -251,8 +251,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q, many: int
     """doc_id, h, start, end: byte spans of keyed documents that strings occurring elsewhere cover."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     every = all_runs(rows, length, q)
-    shared = every.groupBy("gram").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1").select(F.col("gram").alias("g"), (F.col("low") != F.col("high")).alias("mixed"))
-    met = every.join(shared, F.col("gram") == F.col("g")).drop("g")
+    shared = written(every.groupBy("gram").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1").select(F.col("gram").alias("g"), (F.col("low") != F.col("high")).alias("mixed")))
+    met = written(every.join(shared, F.col("gram") == F.col("g")).drop("g"))
     same = met.filter("not mixed").select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
     mixed = met.filter("mixed")
     of_kind = mixed.groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "start", "n")).alias("one"))
