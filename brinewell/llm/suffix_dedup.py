@@ -27,7 +27,7 @@ CHUNK = 1 << 20
 #: Bytes that are suffix-sorted together (a minimiser's runs are never parted).
 SORT = 1 << 16
 #: Kinds of runs of one minimiser from which its windows are counted by hash.
-MANY = 1000
+MANY = 20_000
 MULTIPLIERS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
