@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.shared import checkpointed
 
 MAX_LINKS = 100
 
@@ -98,7 +99,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("r"))
         new = label.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "r").alias("root"))
         jump = new.select(F.col("node").alias("n"), F.col("root").alias("rr"))
-        new = new.join(jump, F.col("root") == F.col("n")).select("node", F.least("root", "rr").alias("root")).checkpoint()
+        new = checkpointed(new.join(jump, F.col("root") == F.col("n")).select("node", F.least("root", "rr").alias("root")))
         old = label.select(F.col("node").alias("n"), F.col("root").alias("before"))
         if new.join(old, F.col("node") == F.col("n")).filter("root <> before").isEmpty():
             return new

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import domains as domain_functions
 from ..functions import scoring, text, urls
 from ..functions.scoring import DAY, Policy
+from ..sources.shared import checkpointed
 
 #: Domains looked at per class, URLs per domain, rows per slot of a recrawl queue.
 DOMAINS_PER_CLASS, URLS_PER_DOMAIN, OVERSCAN = 64, 8, 8
@@ -31,7 +32,8 @@ def judged(links: DataFrame, frontier: DataFrame, policy: Policy = Policy(), suf
     rows = rows.join(known, F.col("url_key") == F.col("k"), "left")
     hint_ok = urls.language_preferred(urls.language_hint(F.col("url")), policy.preferred_languages)
     judged_source = F.col("source").isin("discovered", "sitemap")
-    trap = urls.trap_reason(F.col("url"))
+    rows = rows.withColumn("trap", urls.trap_reason(F.col("url")))
+    trap = F.col("trap")
     verdict = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("depth") > policy.max_depth, "TOO_DEEP")
@@ -44,7 +46,7 @@ def judged(links: DataFrame, frontier: DataFrame, policy: Policy = Policy(), suf
     priority = scoring.priority_breakdown(F.col("source"), F.col("depth"), F.col("external"), F.col("relevant"), hint_ok, F.contains(F.col("url"), F.lit("?")), policy)
     rows = rows.withColumn("verdict", verdict).withColumn("priority", priority["total"])
     first = F.min(F.when(F.col("verdict") == "WOULD_ADD", F.col("arrival"))).over(Window.partitionBy("url_key"))
-    return rows.withColumn("verdict", F.when((F.col("verdict") == "WOULD_ADD") & (F.col("arrival") > first), "REPEATED").otherwise(F.col("verdict"))).drop("k", "reason")
+    return rows.withColumn("verdict", F.when((F.col("verdict") == "WOULD_ADD") & (F.col("arrival") > first), "REPEATED").otherwise(F.col("verdict"))).drop("k", "reason", "trap")
 
 
 def admit(links: DataFrame, frontier: DataFrame, domains: DataFrame, health: DataFrame, policy: Policy = Policy(), suffixes: DataFrame | None = None, families: dict | None = None) -> DataFrame:
@@ -54,7 +56,7 @@ def admit(links: DataFrame, frontier: DataFrame, domains: DataFrame, health: Dat
     those of families that could run out of room take that path, all others pass by a count. The frontier's own budget is a
     cut-off in arrival order after that, as pending only grows within a batch.
     """
-    rows = judged(links, frontier, policy, suffixes, families)
+    rows = checkpointed(judged(links, frontier, policy, suffixes, families))  # addresses are parsed once
     open_ = rows.filter("verdict = 'WOULD_ADD'")
     by_host = frontier.groupBy("host").agg(F.count("*").alias("host_urls")).withColumnRenamed("host", "fh")
     by_domain = domains.select(F.col("domain").alias("fd"), F.col("pending").alias("domain_pending")).join(health.select(F.col("domain").alias("hd"), "bad_streak"), F.col("fd") == F.col("hd"), "left").drop("hd")

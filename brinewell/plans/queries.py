@@ -320,10 +320,6 @@ def _(s, d):
 def _(s, d):
     p = frame(s, d, "pages_in")
     named = p.withColumn("canonical_key", F.when(F.col("doc_id") % 50 == 3, urls.url_key(F.concat(F.lit("https://"), F.col("host"), F.lit("/"), (F.col("doc_id") - 3).cast("string")))))
-    if not s.sparkContext.getCheckpointDir():
-        import tempfile
-
-        s.sparkContext.setCheckpointDir(s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     return corpus.duplicates(named)
 
 
