@@ -19,7 +19,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import in_groups, pick
+from .common import in_groups, pick, slices
 
 #: Fixed value: the split pattern of byte-level pre-tokenisation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def run(batches):
         bpe = tokenizer(spec.value)
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             made = [m for group in in_groups(texts, CHUNK) for m in bpe.digests(group)]
             cols = [batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return rows.select(*[(F.lit(None).cast("string") if at[n] is None else rows[f"c{at[n]}"]).alias(n) for n in names])
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+ROWS = 1024
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, ROWS):
+        yield batch.slice(i, ROWS)
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, with all their columns, less the rows whose doc_id and text hash are in gone (_gone, raw)."""
     rows = plain(docs)
@@ -46,7 +56,8 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+            for some in slices(batch):
+                yield some.filter(pa.array(keep([t or "" for t in some.column(at).to_pylist()]), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import filtered, in_groups, pick
+from .common import filtered, in_groups, pick, slices
 
 Q = 8
 #: Edits allowed per byte of a normalised item.
@@ -201,7 +201,7 @@ def _search(docs: DataFrame, block: list[tuple], rate: float, schema) -> DataFra
 
     def run(batches):
         finder = shared.value
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch)):
             ids, rows, before = batch.column(0).to_pylist(), [], 0
             for group in in_groups([normalised(t or "") for t in batch.column(1).to_pylist()], CHUNK):
                 rows += [(ids[before + t], finder.ids[k], start, end, edits, 1 - edits / len(finder.items[k])) for t, k, start, end, edits in finder.find(group)]

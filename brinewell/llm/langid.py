@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, in_groups, pick, written
+from .common import filtered, in_groups, pick, slices, written
 
 ORDER, BITS = 4, 6
 OTHER, PAD = 62, 63
@@ -28,7 +28,7 @@ CALIBRATE = 5
 MARGIN = 1.5
 #: Least variance of long texts' cross-entropy, and least largest deviation: small samples show too little of either.
 FLOOR = (0.01, 8.0)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _letters: list = []
 
@@ -36,9 +36,12 @@ _letters: list = []
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """By code point: whether it is a letter, and its lower case."""
     if not _letters:
-        chars = [chr(c) for c in range(0x110000)]
-        lower = [c.lower() for c in chars]
-        _letters.append((np.array([c.isalpha() for c in chars]), np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(lower)], np.uint32)))
+        is_letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        for c in map(chr, range(0x110000)):
+            if c.isalpha():
+                is_letter[ord(c)] = True
+                lower[ord(c)] = ord(x) if len(x := c.lower()) == 1 else ord(c)
+        _letters.append((is_letter, lower))
     return _letters[0]
 
 
@@ -300,7 +303,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch)):
             made = [shared.value.predict(g) for g in in_groups([t or "" for t in batch.column(2).to_pylist()], CHUNK)]
             lang = [x for m in made for x in m[0]]
             score, rejected, h = (np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in (1, 2, 3))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, without, written
+from .common import pick, slices, without, written
 from .graph import connected_components
 
 BLOCK, MESSAGE, RADIUS = 23, 12, 3
@@ -27,7 +27,7 @@ GENERATOR = 0b110001110101
 #: Members of an anchor that are compared pair by pair; larger ones are linked over shared one-bit neighbours.
 PAIRWISE = 2048
 #: Bytes of a text taken at a time, and hashes gathered before they are summed.
-STEP, FLUSH = 1 << 20, 1 << 18
+STEP, FLUSH = 1 << 20, 1 << 16
 BLANK = regex.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -84,7 +84,7 @@ def fingerprint_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (64 bits as a signed long), raw (a hash of the text) of every row; null and empty texts have fp 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch)):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts, shingle).astype(np.int64)), batch.column(2)], ["doc_id", "fp", "raw"])
 
@@ -191,8 +191,8 @@ def fingerprint_links(classes: DataFrame, threshold: int = 2) -> DataFrame:
     def replicate(batches):
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(every), 4096):
-                fps = every[i : i + 4096]
+            for i in range(0, len(every), 1024):
+                fps = every[i : i + 1024]
                 row, anchor = anchors(fps.astype(np.uint64), threshold)
                 home = np.arange(len(row)) < len(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fps[row]), pa.array(home)], ["anchor", "fp", "home"])
