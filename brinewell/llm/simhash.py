@@ -224,10 +224,12 @@ def fingerprint_links(classes: DataFrame, threshold: int = 2) -> DataFrame:
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(prints: DataFrame, threshold: int = 2) -> DataFrame:
-    """prints (doc_id, fp, raw) -> those and component_id: the smallest doc_id reachable over links, its own included."""
+def components(prints: DataFrame, threshold: int = 2, links: DataFrame | None = None) -> DataFrame:
+    """prints (doc_id, fp, raw) -> those and component_id: the smallest doc_id reachable over links, its own included.
+
+    Links (a, b, over fingerprints) are those within the threshold, unless others are given."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(fingerprint_links(classes, threshold))
+    roots = connected_components(fingerprint_links(classes, threshold) if links is None else links)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     of = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")

@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
 
 Language identification drops what it rejects, exact deduplication keeps the largest doc_id of equal texts, SimHash the
-smallest of each component, decontamination drops documents in which a benchmark item occurs; the last stage encodes what
+smallest of each component (near copies by five-word shingles are linked too), decontamination drops documents in which a benchmark item occurs; the last stage encodes what
 is left. Every stage works on all that its predecessor kept and returns the columns of documents, but for the last one.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewell.llm import bpe, decontam, exact_dedup, langid, simhash
+from brinewell.llm import bpe, decontam, exact_dedup, langid, near_copies
 from brinewell.llm.common import table, written
 
 
@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return near_copies.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
