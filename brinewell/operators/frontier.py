@@ -197,12 +197,13 @@ def lease(frontier: DataFrame, hosts: DataFrame, domains: DataFrame, health: Dat
     ready = ready_domains(frontier, hosts, domains, health, now, policy)
     low = ready.orderBy("vtime", "domain").limit(max(DOMAINS_PER_CLASS, limit) * 2)
     young = ready.filter("leased < 5").orderBy("vtime", "domain").limit(max(DOMAINS_PER_CLASS, limit) * 2)
+    span = domains.filter("pending > 0").agg(F.coalesce(F.min("vtime"), F.lit(0.0)).alias("vmin"), F.coalesce(F.max("vtime"), F.lit(0.0)).alias("vmax"))
+    chosen = low.select("domain").unionByName(young.select("domain")).unionByName(_wildcards(ready, span, limit, policy, turn)).distinct()
     w = Window.partitionBy("domain").orderBy(F.desc("priority"), "next_at", "url_key")
-    fresh = open_.filter("state = 'PENDING' and queue = 'PUBLIC'").join(low.select("domain").unionByName(young.select("domain")).distinct(), "domain", "left_semi")
+    fresh = open_.filter("state = 'PENDING' and queue = 'PUBLIC'").join(chosen, "domain", "left_semi")
     fresh = fresh.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= URLS_PER_DOMAIN + limit)
     rows = part(demand, "demand").unionByName(part(done, "done")).unionByName(part(failed, "failed")).unionByName(part(fresh, "fresh"))
     weight = scoring.domain_weight(F.col("done"), F.col("yield"), F.col("yield_at"), F.col("ref_domains"), F.lit(now), policy)["weight"]
-    span = domains.filter("pending > 0").agg(F.coalesce(F.min("vtime"), F.lit(0.0)).alias("vmin"), F.coalesce(F.max("vtime"), F.lit(0.0)).alias("vmax"))
     streaks = health.select(F.col("domain").alias("s"), "bad_streak")
     family_load = domains.groupBy("family").agg(F.sum("in_flight").alias("family_in_flight")).withColumnRenamed("family", "g")
     facts = domains.join(streaks, F.col("domain") == F.col("s"), "left").join(family_load, F.col("family") == F.col("g")).select(F.col("domain").alias("d"), "family", "vtime", "leased", "in_flight", "family_in_flight", weight.alias("weight"), F.coalesce("bad_streak", F.lit(0)).alias("bad_streak"))
@@ -211,6 +212,27 @@ def lease(frontier: DataFrame, hosts: DataFrame, domains: DataFrame, health: Dat
     return rows.groupBy("one").applyInPandas(lambda pdf: _allocate(pdf, limit, policy, turn), schema)
 
 
+def _slot_kind(slot: int, policy: Policy) -> str:
+    number, e = slot * 37 % 100, policy.explore
+    return "exploit" if number < e["exploit"] else "explore" if number < e["exploit"] + e["explore"] else "wildcard"
+
+
+def _slot_share(slot: int) -> float:
+    """Where a wildcard slot starts between the least and the greatest vtime, 0 to 1."""
+    return slot * 0.6180339887498949 % 1
+
+
+def _wildcards(ready: DataFrame, span: DataFrame, limit: int, policy: Policy, turn: int) -> DataFrame:
+    """domain: for each wildcard slot that a lease of `limit` may come to, the first domains from its start on."""
+    shares = [_slot_share(slot) for slot in range(turn, turn + max(0, limit)) if _slot_kind(slot, policy) == "wildcard"]
+    out = ready.select("domain").limit(0)
+    timed = ready.select("domain", "vtime").crossJoin(F.broadcast(span))
+    for share in shares:
+        start = F.col("vmin") + share * F.greatest(F.lit(0.0), F.col("vmax") - F.col("vmin"))
+        out = out.unionByName(timed.filter(F.col("vtime") >= start).orderBy("vtime", "domain").limit(DOMAINS_PER_CLASS + limit).select("domain"))
+    return out
+
+
 def _allocate(pdf: pd.DataFrame, limit: int, policy: Policy, turn: int) -> pd.DataFrame:
     """Takes turns: demand, a share of recrawls, fresh URLs by weighted fair queueing with exploration, then more recrawls."""
     taken: list = []
@@ -263,10 +285,8 @@ def _allocate(pdf: pd.DataFrame, limit: int, policy: Policy, turn: int) -> pd.Da
         leased = {d: int(r.leased) for d, r in facts.items()}
         slot = turn
         while len(taken) < limit:
-            number = slot * 37 % 100
-            e = policy.explore
-            first = "exploit" if number < e["exploit"] else "explore" if number < e["exploit"] + e["explore"] else "wildcard"
-            start = vmin + (slot * 0.6180339887498949 % 1) * max(0.0, vmax - vmin)
+            first = _slot_kind(slot, policy)
+            start = vmin + _slot_share(slot) * max(0.0, vmax - vmin)
             slot += 1
             pick = None
             for k in dict.fromkeys([first, "exploit"]):

@@ -165,3 +165,17 @@ def test_provider_endpoints():
         with pytest.raises(ValueError):
             demand.check_endpoint(bad)
     assert not demand.provider_allowed([NOW - i for i in range(20)], NOW) and demand.provider_allowed([NOW - 3_600_000] * 20, NOW)
+
+
+@pytest.mark.parametrize("limit", [1, 4])
+def test_wildcard_slots_reach_all_ready_domains(spark, limit):
+    names = [f"w{i:03}.example" for i in range(400)]
+    u = urls_frame(spark, [(f"u{i}", f"h.{d}", d, "PUBLIC", "PENDING", 1, 0) for i, d in enumerate(names)])
+    dom = domains_frame(spark, names).withColumn("leased", F.lit(9).cast("long"))
+    turn = next(t for t in range(100) if t * 37 % 100 >= 90 and t * 0.6180339887498949 % 1 > 0.5)
+    got = frontier.lease(u, none(spark, HOSTS), dom, none(spark, HEALTH), NOW, limit, turn=turn).orderBy("turn").collect()
+    want, vtime = [], {d: float(i) for i, d in enumerate(names)}
+    for slot in range(turn, turn + limit):
+        start = slot * 0.6180339887498949 % 1 * 399 if slot * 37 % 100 >= 90 else 0.0
+        want.append(next(d for d in names if vtime[d] >= start and d not in want))
+    assert [r["domain"] for r in got] == want and int(want[0][1:4]) >= 200
