@@ -61,6 +61,13 @@ def _(s, d):
     return rows.select("conv_id", "turn", text.query_key(F.lit("salt"), folded).alias("qkey"))
 
 
+@query("query_key_all", None)
+def _(s, d):
+    """Every user turn, with the operator's own fold; the SQL of query_key leaves out texts with a sharp s."""
+    rows = frame(s, d, "conversations").filter("role = 'user'")
+    return rows.select("conv_id", "turn", text.query_key(F.lit("salt"), text.query_terms(text.fold(F.col("text")))).alias("qkey"))
+
+
 @query("url_key", f"{ctes('pages_in')} SELECT doc_id, url_key, 'crawl:' || url_key[1:32] || ':3' AS idempotency FROM pages_in")
 def _(s, d):
     p = frame(s, d, "pages_in")
