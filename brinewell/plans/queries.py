@@ -340,6 +340,15 @@ def _(s, d):
     return corpus.change_tracking(old, new).select("url_key", "first_seen_at", "last_changed_at", "change_count")
 
 
+@query("change_tracking_all", None)
+def _(s, d):
+    """As change_tracking, but every document is in at least one of the two tables."""
+    p = frame(s, d, "pages_in").withColumn("http_status", F.lit(200))
+    old = p.filter("doc_id % 3 <> 0").withColumn("first_seen_at", F.col("fetched_at")).withColumn("change_count", F.lit(0).cast("long"))
+    new = p.filter("doc_id % 2 = 0 or doc_id % 3 = 0").withColumn("content_sha256", F.when(F.col("doc_id") % 5 == 0, F.sha2("url", 256)).otherwise(F.col("content_sha256"))).withColumn("fetched_at", F.col("fetched_at") + 1000)
+    return corpus.change_tracking(old, new).select("url_key", "first_seen_at", "last_changed_at", "change_count")
+
+
 @query("duplicate_promotion", f"""{ctes('pages_in')}, dup AS (SELECT *, first_value(url_key) OVER (PARTITION BY content_sha256 ORDER BY fetched_at, url_key) AS first FROM pages_in), rest AS (SELECT * FROM dup WHERE NOT (first = url_key AND doc_id % 2 = 0)),
         heir AS (SELECT *, first_value(url_key) OVER (PARTITION BY content_sha256 ORDER BY fetched_at, url_key) AS now_first FROM rest) SELECT url_key, CASE WHEN now_first <> url_key THEN now_first END AS duplicate_of FROM heir""")
 def _(s, d):
@@ -411,10 +420,12 @@ def _(s, d):
 
 
 def offers(s, d) -> DataFrame:
-    """Links that ask for admission: two of three to new addresses."""
-    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    rows = frame(s, d, "lineitem").filter("l_linenumber = 1").select(k.alias("arrival"), F.concat(F.lit("https://h"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".d"), (F.col("l_suppkey") % 23).cast("string"), F.lit(".example/n/"), (F.col("l_partkey") % 5000).cast("string"), F.when(F.col("l_partkey") % 10 == 0, ".jpg").when(F.col("l_partkey") % 10 == 1, "?sort=up").otherwise("")).alias("raw"), F.lit("PUBLIC").alias("queue"), F.lit("discovered").alias("source"), (F.col("l_partkey") % 10).alias("depth"), F.lit(False).alias("external"), F.lit(False).alias("relevant"))
-    return rows.dropDuplicates(["arrival"])
+    """Links that ask for admission, one of each row; rows of the same order and line arrive one after another."""
+    lines = frame(s, d, "lineitem")
+    again = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]))
+    lines = lines.withColumn("again", again.cast("long"))
+    k = F.shiftleft(F.col("l_orderkey") * 10 + F.col("l_linenumber"), 20) + F.col("again")
+    return lines.select(k.alias("arrival"), F.concat(F.lit("https://h"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".d"), (F.col("l_suppkey") % 23).cast("string"), F.lit(".example/n/"), (F.col("l_partkey") % 5000).cast("string"), F.when(F.col("l_partkey") % 10 == 0, ".jpg").when(F.col("l_partkey") % 10 == 1, "?sort=up").otherwise("")).alias("raw"), F.lit("PUBLIC").alias("queue"), F.lit("discovered").alias("source"), (F.col("l_partkey") % 10).alias("depth"), F.lit(False).alias("external"), F.lit(False).alias("relevant"))
 
 
 OFFERS = """SELECT min_by(raw, l_partkey) AS raw, arrival, min(depth) AS depth FROM (SELECT l_orderkey * 10 + l_linenumber AS arrival, l_partkey, 'https://h' || (l_suppkey % 40) || '.d' || (l_suppkey % 23) || '.example/n/' || (l_partkey % 5000) || CASE l_partkey % 10 WHEN 0 THEN '.jpg' WHEN 1 THEN '?sort=up' ELSE '' END AS raw, l_partkey % 10 AS depth FROM lineitem WHERE l_linenumber = 1) GROUP BY arrival"""

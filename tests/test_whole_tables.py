@@ -27,3 +27,21 @@ def test_every_user_turn_is_keyed(spark):
         want[conv, turn, key] += 1
     got = Counter((r["conv_id"], r["turn"], r["qkey"]) for r in QUERIES["query_key_all"](spark, SF).collect())
     assert got == want
+
+
+def test_every_line_is_offered(spark):
+    (n,) = read("SELECT count(*) FROM '{sf}/lineitem.parquet'")[0]
+    got = QUERIES["admission_verdicts"](spark, SF).collect()
+    assert len(got) == len({r["arrival"] for r in got}) == n
+
+
+def test_every_document_is_tracked(spark):
+    want = {}
+    for doc, source, t in read("SELECT doc_id, source, coalesce(text, '') FROM '{sf}/documents.parquet'"):
+        url, at = f"https://{source}.example.org/{doc}", 852_076_800_000 - doc * 3_600_000
+        stored, arrived = doc % 3 != 0, doc % 2 == 0 or doc % 3 == 0
+        same = doc % 5 != 0 or hashlib.sha256(url.encode()).hexdigest() == hashlib.sha256(t.encode()).hexdigest()
+        changed = stored and arrived and not same
+        want[hashlib.sha256(url.encode()).hexdigest()] = (at if stored else at + 1000, at if stored and not changed else at + 1000, int(changed))
+    got = {r["url_key"]: (r["first_seen_at"], r["last_changed_at"], r["change_count"]) for r in QUERIES["change_tracking_all"](spark, SF).collect()}
+    assert got == want
