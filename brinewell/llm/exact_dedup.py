@@ -1,9 +1,10 @@
 """Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Each task sorts the digests of its rows into a run. In every round the runs of `fan_in` neighbours (their numbers shifted
-right by the round's bits, as in a binomial exchange) are merged, and of each digest the surviving identifier and the
-count stay. Merging a run and a digest bucket is one task's work, so a digest that a third of all rows share arrives
-once per run, already summed, and no task ever holds the rows of a group.
+Each task sorts the digests of its rows into a run and sums equal ones up. In every round the runs of 2^round_bits
+neighbours meet (their numbers are shifted right), are merged in the order of their digests, and of each digest the
+surviving identifier and the count stay, until one run is left; there are as many rounds as the number of runs asks for.
+The identifier is a struct, which Spark aggregates over sorted input only, so that every level is a sort and a streaming
+merge. What is merged of one digest arrives once per run, already summed, so that no task ever holds the rows of a group.
 """
 
 from __future__ import annotations
@@ -24,15 +25,24 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def merge_runs(rows: DataFrame, keep: str = "max", run_bits: int = 6, round_bits: int = 3) -> DataFrame:
-    """One row per distinct verified digest: digest, verify, keep_id, group_size."""
-    best = F.max if keep == "max" else F.min
-    key = ["run", "digest", "verify"]
-    level = rows.select(F.pmod("run", F.lit(1 << run_bits)).alias("run"), "digest", "verify", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    level = level.sortWithinPartitions("digest")
-    for bits in [0] + [round_bits] * -(-run_bits // round_bits):
-        level = level.withColumn("run", F.shiftright("run", bits)).groupBy(*key).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return level.drop("run")
+def rounds(runs: int, round_bits: int) -> int:
+    """Rounds after which 2^round_bits neighbours merged in each leave one run."""
+    return max(1, -(-max(0, runs - 1).bit_length() // round_bits))
+
+
+def merge_runs(rows: DataFrame, keep: str = "max", round_bits: int = 3) -> DataFrame:
+    """One row per distinct verified digest: digest, verify, keep_id, group_size.
+
+    Digests that are equal but not verified by the second hash and the length stay apart at every level. A null doc_id is
+    kept only if all of a group are null. Empty input: no rows.
+    """
+    last = rows.agg(F.max("run")).first()[0]
+    known = F.col("doc_id").isNotNull()
+    best, held = (F.max, known) if keep == "max" else (F.min, ~known)
+    level = rows.select("run", "digest", "verify", F.struct(held.alias("known"), "doc_id").alias("id"), F.lit(1).cast("long").alias("group_size"))
+    for _ in range(rounds(0 if last is None else last + 1, round_bits)):
+        level = level.withColumn("run", F.shiftright("run", round_bits)).groupBy("run", "digest", "verify").agg(best("id").alias("id"), F.sum("group_size").alias("group_size"))
+    return level.select("digest", "verify", F.col("id.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
