@@ -1,16 +1,21 @@
 """Removal of byte strings of a given length that occur anywhere else, verified on suffix arrays.
 
 Every window of `length` bytes belongs to its minimiser, the q-gram in it with the least hash; equal windows have equal
-minimisers at equal offsets. Consecutive windows of one minimiser form a run, about two of them per `length` bytes. Runs
-whose minimiser occurs once can't repeat and stay out. Runs equal as a whole repeat in all their windows. The others, one
-of each kind, meet by minimiser; what of them has a chance to repeat is suffix-sorted by grouping (suffix_sort), and
-neighbours in the suffix array that agree over `length` bytes are the repeats. A minimiser with very many kinds of runs
-goes another exact way: its windows' hashes are counted with a distributed aggregation.
+minimisers at equal offsets. Consecutive windows of one minimiser form a run. Runs whose minimiser occurs once can't repeat
+and stay out. Equal runs (by a 128-bit BLAKE2b digest) are one kind with a count; a kind that occurs again repeats as a
+whole. The kinds meet by minimiser, one run of each; what of them has a chance to repeat is suffix-sorted by grouping
+(suffix_sort), and neighbours in the suffix array that agree over `length` bytes are the repeats.
+
+The kinds of a minimiser that has very many are split before they are sorted: windows at offsets of one half of the range
+share not just the minimiser but a longer string around it, which is the key of the half. Halves are treated as runs were,
+and split again while there are too many kinds of one; a single window's key is the window itself. So no key's runs
+are too many for one task, and every way ends at a suffix array.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_groups, pick, written
+from .common import in_groups, pick, slices, written
 from .suffix_sort import suffix_array
 
 LENGTH, Q = 200, 32
@@ -26,8 +31,11 @@ LENGTH, Q = 200, 32
 CHUNK = 1 << 20
 #: Bytes that are suffix-sorted together (a minimiser's runs are never parted).
 SORT = 1 << 16
-#: Kinds of runs of one minimiser from which its windows are counted by hash.
-MANY = 20_000
+#: Kinds of one key above which they are split by longer keys. Bounds what a task sorts; no result depends on it.
+MANY = 4096
+#: Minimisers that occur more often are dealt out to SALTS tasks where all their runs are looked at; they are known by
+#: their bucket, so that what is broadcast is bounded.
+COMMON, SALTS, BUCKETS = 10_000, 32, 1 << 20
 MULTIPLIERS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
@@ -66,12 +74,17 @@ def least(v: np.ndarray, width: int) -> np.ndarray:
     return m if span == width else np.minimum(m[: len(v) - width + 1], m[width - span :])
 
 
+def digest(data) -> tuple[int, int]:
+    two = int.from_bytes(hashlib.blake2b(data, digest_size=16).digest(), "little")
+    return (two & (1 << 64) - 1) - (1 << 63), (two >> 64) - (1 << 63)
+
+
 def runs(texts: list[bytes], length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, minimiser's hash, whole run's hash) of the runs of all texts; none shorter than length has any."""
+    """(text, start, windows, minimiser's offset in the first window, its hash) of all texts' runs; none shorter than length has any."""
     sizes = np.array([len(t) for t in texts], np.int64)
     a = np.frombuffer(b"".join(texts), np.uint8)
     if not (sizes >= length).any():
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     offsets = np.cumsum(sizes) - sizes
     h = Hashes(a)
     at = np.arange(len(a) - q + 1)
@@ -85,8 +98,8 @@ def runs(texts: list[bytes], length: int = LENGTH, q: int = Q) -> tuple[np.ndarr
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(start)))
-    s = start[first]
-    return text[first], s - offsets[text[first]], n, gram[place[first]], h.of(s, s + n - 1 + length)
+    s, place = start[first], place[first]
+    return text[first], s - offsets[text[first]], n, place - s, gram[place]
 
 
 def pieces(text: bytes, length: int = LENGTH, most: int = CHUNK):
@@ -101,28 +114,67 @@ def keyed(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def all_runs(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """doc_id, h, start, n, gram, whole for every run of every text."""
+def parted(texts: list[str], length: int) -> tuple[list[bytes], list[int], list[int]]:
+    """Parts of texts, whose they are, and where they begin."""
+    parts, owner, offset = [], [], []
+    for k, text in enumerate(texts):
+        for at, part in pieces(text.encode(), length):
+            parts.append(part)
+            owner.append(k)
+            offset.append(at)
+    return parts, owner, offset
+
+
+def minimisers(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """gram, c: how many runs have a minimiser, summed up by batch."""
+
+    def run(batches):
+        for batch in (some for batch in batches for some in slices(batch)):
+            parts, _, _ = parted(batch.column(2).to_pylist(), length)
+            for group in in_groups(parts, CHUNK):
+                gram, c = np.unique(runs(group, length, q)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(c)], ["gram", "c"])
+
+    return rows.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def salted(shared: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """shared (gram, c) once for each salt that its runs can have, and the buckets whose runs have one other than 0."""
+    bucket = F.pmod("gram", F.lit(BUCKETS)).cast("int").alias("b")
+    common = np.zeros(BUCKETS, bool)
+    common[shared.filter(F.col("c") > COMMON).select(bucket).distinct().toArrow().column(0).to_numpy()] = True
 
     def run(batches):
         for batch in batches:
-            parts, owner, offset = [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                for at, part in pieces(text.encode(), length):
-                    parts.append(part)
-                    owner.append(k)
-                    offset.append(at)
+            gram = batch.column(0).to_numpy()
+            n = np.where(common[gram & BUCKETS - 1], SALTS, 1)
+            salt = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram, n)), pa.array(salt.astype(np.int32))], ["g", "s"])
+
+    return shared.mapInArrow(run, "g long, s int"), common
+
+
+def all_runs(rows: DataFrame, common: np.ndarray, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """doc_id, h, start, n, off, gram, salt, w0, w1 (digest of the run's bytes) for every run of every text."""
+
+    def run(batches):
+        for batch in (some for batch in batches for some in slices(batch)):
+            parts, owner, offset = parted(batch.column(2).to_pylist(), length)
             done = 0
             for group in in_groups(parts, CHUNK):
-                which, start, n, gram, whole = runs(group, length, q)
+                which, start, n, off, gram = runs(group, length, q)
+                gram = gram.astype(np.int64)
+                bounds = zip(which.tolist(), start.tolist(), (start + n - 1 + length).tolist())
+                w = np.array([digest(group[k][s:e]) for k, s, e in bounds], np.int64).reshape(-1, 2)
                 row = np.array(owner[done : done + len(group)], np.int64)[which]
                 start = start + np.array(offset[done : done + len(group)], np.int64)[which]
                 done += len(group)
-                cols = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram.astype(np.int64)), pa.array(whole.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "start", "n", "gram", "whole"])
+                salt = np.where(common[gram & BUCKETS - 1], (w[:, 0] ^ start) % SALTS, 0)
+                cols = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (start, n, off)), pa.array(gram), pa.array(salt.astype(np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "start", "n", "off", "gram", "salt", "w0", "w1"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, start int, n int, gram long, whole long")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, start int, n int, off int, gram long, salt int, w0 long, w1 long")
 
 
 def repeated_windows(texts: list[bytes], group: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -197,7 +249,7 @@ def spans(flags: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
 
 
 def compared(kinds: DataFrame, length: int, kind: str) -> DataFrame:
-    """kinds (gram, doc_id, h, start, part) -> doc_id, h, start, end: repeated bytes, found within each minimiser's runs."""
+    """kinds (gram, doc_id, h, start, part) -> doc_id, h, start, end: repeated bytes, found within each key's runs."""
 
     def run(batches):
         def done():
@@ -224,47 +276,74 @@ def compared(kinds: DataFrame, length: int, kind: str) -> DataFrame:
     return kinds.select("gram", "doc_id", "h", "start", "part").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"doc_id {kind}, h long, start int, end int")
 
 
-def counted(kinds: DataFrame, length: int, kind: str) -> DataFrame:
-    """The same for minimisers with very many kinds of runs: windows by a 128-bit hash, summed before the shuffle."""
+def halves(start: int, n: int, off: int, part: bytes, gram: int, level: int, length: int, q: int) -> Iterator[tuple]:
+    """(start, n, off, part, key) of the parts of a run whose windows have the minimiser at offsets of one interval.
+
+    Intervals of a level are twice as many as of the one before. The key is a hash of what all windows of an interval
+    contain, whether or not this run has them all."""
+    width = max(1, 1 << (length - q).bit_length() >> level)
+    at = 0
+    while at < n:
+        low = (off - at) // width * width
+        last = min(n - 1, off - low)
+        high = min(low + width - 1, length - q)
+        core = part[off - low : off - high + length]
+        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=f"{level}:{low}".encode()).digest(), "little", signed=True)
+        yield start + at, last - at + 1, off - at, part[at : last + length], key
+        at = last + 1
+
+
+def split(kinds: DataFrame, level: int, length: int, q: int, kind: str) -> DataFrame:
+    """Runs (with their bytes as part) of too many kinds a key as runs of longer keys."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
-                texts = some.column(4).to_pylist()
-                sizes = np.array([len(t) for t in texts], np.int64)
-                n = sizes - length + 1
-                row = np.repeat(np.arange(len(texts)), n)
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = inside + np.repeat(np.cumsum(sizes) - sizes, n)
-                a = np.frombuffer(b"".join(texts), np.uint8)
-                start = np.array(some.column(3).to_pylist(), np.int64)[row] + inside
-                cols = [some.column(1).take(pa.array(row)), some.column(2).take(pa.array(row)), pa.array(start.astype(np.int32)), *(pa.array(Hashes(a, w).of(at, at + length).astype(np.int64)) for w in (0, 1))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "start", "x", "y"])
-
-    windows = kinds.select("gram", "doc_id", "h", "start", "part").mapInArrow(run, f"doc_id {kind}, h long, start int, x long, y long")
-    again = windows.groupBy("x", "y").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return windows.join(again, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))).select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
-
-
-def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q, many: int = MANY) -> DataFrame:
-    """doc_id, h, start, end: byte spans of keyed documents that strings occurring elsewhere cover."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    every = all_runs(rows, length, q)
-    shared = written(every.groupBy("gram").agg(F.count("*").alias("c"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("c > 1").select(F.col("gram").alias("g"), (F.col("low") != F.col("high")).alias("mixed")))
-    met = written(every.join(shared, F.col("gram") == F.col("g")).drop("g"))
-    same = met.filter("not mixed").select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    mixed = met.filter("mixed")
-    of_kind = mixed.groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "start", "n")).alias("one"))
-    whole = mixed.join(of_kind.filter("c > 1").select(F.col("gram").alias("g"), F.col("whole").alias("w")), (F.col("gram") == F.col("g")) & (F.col("whole") == F.col("w")))
+        for batch in (some for batch in batches for some in slices(batch)):
+            out: list[list] = [[] for _ in range(8)]
+            row = []
+            for k, r in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6)))):
+                for start, n, off, part, key in halves(*r[1:], r[0], level, length, q):
+                    row.append(k)
+                    for o, v in zip(out, (key, start, n, off, part, *digest(part))):
+                        o.append(v)
+            at = pa.array(row, pa.int64())
+            kinds_ = pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), batch.column(1).take(at), batch.column(2).take(at), *(pa.array(o, t) for o, t in zip(out[1:7], kinds_))], ["gram", "doc_id", "h", "start", "n", "off", "part", "w0", "w1"])
+
+    return kinds.select("gram", "doc_id", "h", "start", "n", "off", "part").mapInArrow(run, f"gram long, doc_id {kind}, h long, start int, n int, off int, part binary, w0 long, w1 long")
+
+
+def by_kind(met: DataFrame, length: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of the runs whose kind (gram, w0, w1) occurs again, and one run of each kind of keys that have several (how many)."""
+    one = F.min(F.struct("doc_id", "h", "start", "n", "off", *more)).alias("one")
+    kinds = written(met.groupBy("gram", "w0", "w1").agg(F.count("*").alias("c"), one))
+    again = kinds.filter("c > 1").select(F.col("gram").alias("g"), F.col("w0").alias("x"), F.col("w1").alias("y"))
+    whole = met.join(again, (F.col("gram") == F.col("g")) & (F.col("w0") == F.col("x")) & (F.col("w1") == F.col("y")))
     whole = whole.select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    size = of_kind.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("kinds"))
-    kinds = of_kind.join(size, F.col("gram") == F.col("g")).select("gram", "kinds", "one.*")
-    wanted = kinds.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_list(F.struct("start", "n", "gram", "kinds")).alias("wanted"))
+    several = kinds.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    return whole, kinds.join(several, F.col("gram") == F.col("g")).select("gram", "kinds", "one.*")
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q, many: int | None = None) -> DataFrame:
+    """doc_id, h, start, end: byte spans of keyed documents that strings occurring elsewhere cover."""
+    kind, many = rows.schema["doc_id"].dataType.simpleString(), MANY if many is None else many
+    shared, common = salted(written(minimisers(rows, length, q).filter("c > 1")))
+    met = written(all_runs(rows, common, length, q).join(shared, (F.col("gram") == F.col("g")) & (F.col("salt") == F.col("s"))).drop("g", "s", "salt"))
+    out, kinds = by_kind(met, length)
+    wanted = kinds.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_list(F.struct("start", "n", "off", "gram", "kinds")).alias("wanted"))
     found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")))
     found = found.select("doc_id", "h", F.encode("text", "utf-8").alias("raw"), F.explode("wanted").alias("x"))
-    found = found.select("doc_id", "h", "x.start", "x.gram", "x.kinds", F.substring("raw", F.col("x.start") + 1, F.col("x.n") - 1 + length).alias("part"))
-    return same.unionByName(whole).unionByName(compared(found.filter(F.col("kinds") <= many), length, kind)).unionByName(counted(found.filter(F.col("kinds") > many), length, kind))
+    found = written(found.select("doc_id", "h", "x.*", F.substring("raw", F.col("x.start") + 1, F.col("x.n") - 1 + length).alias("part")))
+    for level in range(1, (length - q).bit_length() + 1):
+        out = out.unionByName(compared(found.filter(F.col("kinds") <= many), length, kind))
+        large = found.filter(F.col("kinds") > many)
+        if large.isEmpty():
+            return out
+        parts = written(split(large, level, length, q, kind))
+        shared = parts.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("c")).filter("c > 1")
+        whole, found = by_kind(parts.join(shared, F.col("gram") == F.col("g"), "left_semi"), length, "part")
+        found = written(found)
+        out = out.unionByName(whole)
+    return out.unionByName(compared(found, length, kind))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:

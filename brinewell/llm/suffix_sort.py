@@ -1,4 +1,5 @@
-"""Suffix sorting by grouping, in linear time and without recursion (U. Baier, Linear-time suffix sorting, 2016).
+"""Suffix sorting by grouping, without recursion (after U. Baier, Linear-time suffix sorting, 2016; the members of a group
+are put in order of place by a sort here, which isn't linear at worst).
 
 Phase one sorts suffixes into groups of equal Lyndon prefix, from the highest group down: each member points to the nearest
 place before it whose group is lower (its previous smaller one), and places that got equally many pointers from a group move
