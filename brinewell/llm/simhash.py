@@ -1,14 +1,17 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors are the codewords of a covering code: two blocks of 23 bits of a fingerprint are covered by the binary Golay code
-(radius 3 each), the other 18 bits are free. A fingerprint's home is its nearest anchor, within the covering radius; it is
-replicated to every anchor within radius plus threshold that some fingerprint at most `threshold` bits away has as home. So
-of two linked fingerprints each is at the other's home, and comparing homes with visitors per anchor finds every link.
+Anchors are the codewords of a covering code over the whole fingerprint: two blocks of 23 bits are covered by the binary
+Golay code (radius 3 each), one of 15 by the Hamming code (radius 1), the last three bits stand for themselves. A
+fingerprint's home is its nearest anchor, within the covering radius; it is replicated to every anchor within radius plus
+threshold that some fingerprint at most `threshold` bits away has as home. So of two linked fingerprints each is at the
+other's home, and comparing homes with visitors per anchor finds every link. There are 2^38 anchors.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations, product
 from math import comb
 
 import numpy as np
@@ -21,11 +24,8 @@ from pyspark.sql import functions as F
 from .common import pick, slices, without, written
 from .graph import connected_components
 
-BLOCK, MESSAGE, RADIUS = 23, 12, 3
-#: Fixed value: the Golay code's generator polynomial, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
-GENERATOR = 0b110001110101
-#: Members of an anchor that are compared pair by pair; larger ones are linked over shared one-bit neighbours.
-PAIRWISE = 2048
+#: Comparisons that an anchor makes at a time.
+COMPARED = 1 << 22
 #: Bytes of a text taken at a time, and hashes gathered before they are summed.
 STEP, FLUSH = 1 << 20, 1 << 16
 BLANK = regex.compile(rb"[\x20\x09-\x0D]")
@@ -92,50 +92,77 @@ def fingerprint_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long, raw long")
 
 
-def _syndrome(w: np.ndarray) -> np.ndarray:
-    """Remainder of a 23-bit word modulo the generator."""
-    w = w.copy()
-    for i in range(BLOCK - 1, BLOCK - MESSAGE - 1, -1):
-        w ^= np.where(w >> i & 1, GENERATOR << (i - BLOCK + MESSAGE), 0).astype(w.dtype)
-    return w
+@dataclass(frozen=True)
+class Code:
+    """A perfect cyclic code: bits of a word and of a message, covering radius, generator polynomial."""
 
+    bits: int
+    message: int
+    radius: int
+    generator: int
 
-def _leaders() -> np.ndarray:
-    """The one error of at most three bits for each syndrome: the code is perfect."""
-    errors = np.array([sum(1 << i for i in c) for k in range(RADIUS + 1) for c in combinations(range(BLOCK), k)], np.int64)
-    out = np.zeros(1 << BLOCK - MESSAGE, np.int64)
-    out[_syndrome(errors)] = errors
-    return out
+    def syndrome(self, w: np.ndarray) -> np.ndarray:
+        """Remainder of a word modulo the generator."""
+        check, w = self.bits - self.message, w.copy()
+        for i in range(self.bits - 1, check - 1, -1):
+            w ^= np.where(w >> i & 1, self.generator << (i - check), 0).astype(w.dtype)
+        return w
 
+    @lru_cache
+    def leaders(self) -> np.ndarray:
+        """The one error within the radius for each syndrome."""
+        errors = np.concatenate([flips(self.bits, k) for k in range(self.radius + 1)])
+        out = np.zeros(1 << self.bits - self.message, np.int64)
+        out[self.syndrome(errors)] = errors
+        return out
 
-def _reached(w: np.ndarray, flips: int, leaders: np.ndarray) -> list[np.ndarray]:
-    """For 0 to `flips` changed bits of a block, the codewords first nearest then, -1 where there are fewer."""
-    found: list[np.ndarray] = []
-    for k in range(flips + 1):
-        errors = np.array([sum(1 << i for i in c) for c in combinations(range(BLOCK), k)], np.int64)
-        v = w[:, None] ^ errors
-        code = np.sort((v ^ leaders[_syndrome(v)]) >> (BLOCK - MESSAGE), axis=1)
-        code[:, 1:][code[:, 1:] == code[:, :-1]] = -1
-        for before in found:
-            for j in range(before.shape[1]):
-                code[code == before[:, j : j + 1]] = -1
-        code = -np.sort(-code, axis=1)
-        found.append(code[:, : max(1, int((code >= 0).sum(axis=1).max(initial=0)))])
-    return found
+    def reached(self, w: np.ndarray, most: int) -> list[np.ndarray]:
+        """For 0 to `most` changed bits, the messages of the codewords first nearest then, -1 where there are fewer."""
+        found: list[np.ndarray] = []
+        for k in range(most + 1):
+            v = w[:, None] ^ flips(self.bits, k)
+            code = np.sort((v ^ self.leaders()[self.syndrome(v)]) >> (self.bits - self.message), axis=1)
+            code[:, 1:][code[:, 1:] == code[:, :-1]] = -1
+            for before in found:
+                for j in range(before.shape[1]):
+                    code[code == before[:, j : j + 1]] = -1
+            code = -np.sort(-code, axis=1)
+            found.append(code[:, : max(1, int((code >= 0).sum(axis=1).max(initial=0)))])
+        return found
+
+
+def flips(bits: int, k: int) -> np.ndarray:
+    """All words with k bits set."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(bits), k)], np.int64)
+
+
+#: The generator polynomials x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (Golay) and x^4 + x + 1 (Hamming).
+GOLAY, HAMMING = Code(23, 12, 3, 0b110001110101), Code(15, 11, 1, 0b10011)
+CODES = GOLAY, GOLAY, HAMMING
 
 
 def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) pairs: where each fingerprint goes. The first len(fps) pairs are the homes."""
-    leaders, mask = _leaders(), (1 << BLOCK) - 1
-    sides = [_reached((fps >> np.uint64(s)).astype(np.int64) & mask, threshold, leaders) for s in (0, BLOCK)]
+    """(row, anchor) pairs: where each fingerprint goes. The first len(fps) pairs are the homes.
+
+    A bit of the last three that differs leads to the anchor that differs in it."""
+    sides, at = [], 0
+    for code in CODES:
+        sides.append(code.reached((fps >> np.uint64(at)).astype(np.int64) & (1 << code.bits) - 1, threshold))
+        at += code.bits
+    rest = (fps >> np.uint64(at)).astype(np.int64)
+    sides.append([rest[:, None] ^ flips(64 - at, k) for k in range(threshold + 1)])
+    widths = [*(code.message for code in CODES), 64 - at]
     rows, out = [], []
-    for k in range(threshold + 1):
-        for i in range(k + 1):
-            left, right = sides[0][i], sides[1][k - i]
-            anchor = np.where((left[:, :, None] >= 0) & (right[:, None, :] >= 0), left[:, :, None] << MESSAGE | right[:, None, :], -1).reshape(len(fps), -1)
-            r, c = np.nonzero(anchor >= 0)
-            rows.append(r)
-            out.append(anchor[r, c])
+    for ks in sorted(product(range(threshold + 1), repeat=len(sides)), key=sum):
+        if sum(ks) > threshold:
+            break
+        anchor = np.zeros((len(fps), 1), np.int64)
+        for side, k, width in zip(sides, ks, widths):
+            new = side[k]
+            anchor = np.where((anchor[:, :, None] >= 0) & (new[:, None, :] >= 0), anchor[:, :, None] << width | new[:, None, :], -1).reshape(len(fps), -1)
+        r, c = np.nonzero(anchor >= 0)
+        rows.append(r)
+        out.append(anchor[r, c])
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -156,31 +183,14 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what of an anchor's members is within threshold: fewer than members, though pairs may be many."""
-    n = len(fps)
-    if n <= PAIRWISE:
-        a, b = np.nonzero(np.bitwise_count(fps[home][:, None] ^ fps[None, :]) <= threshold)
-        a = np.flatnonzero(home)[a]
-    else:
-        # Two fingerprints are within 2k bits just if some word is within k bits of both.
-        near = np.array([sum(1 << i for i in c) for k in range(-(-threshold // 2) + 1) for c in combinations(range(64), k)], np.uint64)
-        each = max(1, (1 << 22) // n)
-        parts: tuple[list, list] = [], []
-        if threshold % 2 == 0:
-            for top in range(0, 256):  # by the neighbour's lowest byte, so that memory is bounded by members, not by neighbours
-                chosen = [np.flatnonzero((fps ^ e) & np.uint64(255) == top) for e in near]
-                who = np.concatenate(chosen)
-                key = np.concatenate([fps[c] ^ e for c, e in zip(chosen, near, strict=True)])
-                order = np.argsort(key, kind="stable")
-                same = np.flatnonzero(key[order][1:] == key[order][:-1])
-                parts[0].append(who[order][same])
-                parts[1].append(who[order][same + 1])
-        else:
-            for i in range(0, n, each):
-                x, y = np.nonzero(np.bitwise_count(fps[i : i + each, None] ^ fps[None, :]) <= threshold)
-                parts[0].append(x + i)
-                parts[1].append(y)
-        a, b = np.concatenate(parts[0]), np.concatenate(parts[1])
-    label = _spanning(n, a, b)
+    n, own = len(fps), np.flatnonzero(home)
+    label = np.arange(n)
+    for i in range(0, len(own), max(1, COMPARED // n)):
+        some = own[i : i + max(1, COMPARED // n)]
+        a, b = np.nonzero(np.bitwise_count(fps[some, None] ^ fps[None, :]) <= threshold)
+        new = label[some[a]] != label[b]
+        if new.any():
+            label = _spanning(n, np.concatenate([some[a[new]], np.arange(n)]), np.concatenate([b[new], label]))
     other = np.flatnonzero(label != np.arange(n))
     return fps[other], fps[label[other]]
 
@@ -195,32 +205,35 @@ def fingerprint_links(classes: DataFrame, threshold: int = 2) -> DataFrame:
                 fps = every[i : i + 1024]
                 row, anchor = anchors(fps.astype(np.uint64), threshold)
                 home = np.arange(len(row)) < len(fps)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(fps[row]), pa.array(home)], ["anchor", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches):
-        def done(parts):
-            fps = np.concatenate([p[1] for p in parts]).astype(np.uint64)
-            home = np.concatenate([p[2] for p in parts])
-            if home.any() and len(fps) > 1:
-                a, b = links(fps, home, threshold)
+        def done(anchor, fp, home):
+            """Links of whole anchors; those with one member, or without a home, have none."""
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            last = np.append(first[1:], len(anchor))
+            met = (last - first > 1) & np.logical_or.reduceat(home, first)
+            for i, j in zip(first[met].tolist(), last[met].tolist()):
+                a, b = links(fp[i:j].astype(np.uint64), home[i:j], threshold)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
-        open_: list = []
+        open_: list[list[np.ndarray]] = []
         for batch in batches:
-            anchor, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1), len(anchor)]
-            for i, j in zip(cuts, cuts[1:]):
-                if i == j:
-                    continue
-                if open_ and open_[0][0] != anchor[i]:
-                    yield from done(open_)
-                    open_ = []
-                open_.append((anchor[i], fp[i:j], home[i:j]))
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if open_ and (cut or now[0][0] != open_[-1][0][-1]):
+                yield from done(*(np.concatenate(c) for c in zip(*open_, [x[:cut] for x in now])))
+                open_ = []
+            elif cut:
+                yield from done(*(x[:cut] for x in now))
+            open_.append([x[cut:] for x in now])
         if open_:
-            yield from done(open_)
+            yield from done(*(np.concatenate(c) for c in zip(*open_)))
 
-    placed = classes.select("fp").mapInArrow(replicate, "anchor int, fp long, home boolean")
+    placed = classes.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -257,5 +270,5 @@ def representatives(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> Da
 
 def replicas(threshold: int = 2) -> int:
     """Most anchors that a fingerprint can go to: the bound on the growth of the replicated table."""
-    per = [comb(BLOCK, k) for k in range(threshold + 1)]
-    return sum(per[i] * per[k - i] for k in range(threshold + 1) for i in range(k + 1))
+    bits = [*(code.bits for code in CODES), 64 - sum(code.bits for code in CODES)]
+    return sum(int(np.prod([comb(n, k) for n, k in zip(bits, ks)])) for ks in product(range(threshold + 1), repeat=len(bits)) if sum(ks) <= threshold)
