@@ -2,7 +2,8 @@
 
 An occurrence of an item with at most e edits shares with it all but e*q of any set of its q-grams, and the diagonals of the
 shared ones lie within e of each other. So hits are counted in diagonal bands of width 2(e+1) that overlap by half, bands
-with enough distinct item places are kept, and a banded alignment verifies them.
+with enough distinct item places are kept, and a banded alignment verifies them. q is 8, and less for items so short that
+8-grams would leave the lemma without a bound, so that each item has its whole edit budget.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .common import filtered, in_groups, pick, slices
+from .common import filtered, in_groups, pick, slices, written
 
-Q = 8
+#: Lengths of grams, the longest that leaves an item a bound first; items shorter than the first one occur as whole words.
+QS = 8, 4, 2, 1
 #: Edits allowed per byte of a normalised item.
 RATE = 0.1
 #: Bytes of benchmark text that are broadcast at a time: a larger benchmark is taken in blocks.
@@ -29,11 +32,12 @@ def normalised(text: str) -> bytes:
     return " ".join(text.lower().split()).encode()
 
 
-def packed(a: np.ndarray) -> np.ndarray:
-    """The 8-gram from each place on as one integer."""
-    two = a[:-1] | a[1:].astype(np.uint16) << np.uint16(8)
-    four = two[:-2] | two[2:].astype(np.uint32) << np.uint32(16)
-    return four[:-4] | four[4:].astype(np.uint64) << np.uint64(32)
+def packed(a: np.ndarray, q: int = QS[0]) -> np.ndarray:
+    """The q-gram (q: 1, 2, 4 or 8) from each place on as one integer."""
+    out, n = a.astype(np.uint64), 1
+    while n < q:
+        out, n = out[:-n] | out[n:] << np.uint64(8 * n), 2 * n
+    return out
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -58,36 +62,23 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[in
     return int(cost[k]), int(start[k]), low + k + len(item)
 
 
-class Finder:
-    """Items of a benchmark block: (item_id, normalised text). Empty ones match nothing."""
+class Grams:
+    """The q-grams of some items (index, normalised text as bytes, edits), and the search for them."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE):
-        self.ids = [i for i, t in items if t]
-        self.items = [np.frombuffer(t, np.uint8) for _, t in items if t]
-        self.short = {}
-        grams, who, at = [], [], []
-        self.edits, self.need = [], []
-        for k, a in enumerate(self.items):
-            if len(a) < Q:  # no q-gram: it has to be a text's word sequence as it stands
-                self.short[k] = a.tobytes()
-                self.edits.append(0)
-                self.need.append(0)
-                continue
-            g = packed(a)
-            e = min(int(rate * len(a)), (len(g) - 1) // Q)
-            self.edits.append(e)
-            self.need.append(len(g) - e * Q)
-            grams.append(g)
-            who.append(np.full(len(g), k))
-            at.append(np.arange(len(g)))
-        gram, who, at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((grams, np.uint64), (who, np.int64), (at, np.int64)))
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], q: int):
+        self.q, self.index = q, [i for i, _, _ in items]
+        self.items, self.edits = [a for _, a, _ in items], [e for _, _, e in items]
+        grams = [packed(a, q) for a in self.items]
+        self.need = [len(g) - e * q for g, e in zip(grams, self.edits)]
+        who, at = np.concatenate([np.full(len(g), k) for k, g in enumerate(grams)]), np.concatenate([np.arange(len(g)) for g in grams])
+        gram = np.concatenate(grams)
         # The lemma holds for any part of an item's q-grams, so the most frequent ones can go while two thirds of the bound stay.
         _, inverse, n = np.unique(gram, return_inverse=True, return_counts=True)
-        keep = np.ones(len(gram), bool)
-        common = n[inverse] if len(gram) else np.zeros(0, np.int64)
+        keep, common = np.ones(len(gram), bool), n[inverse]
+        ends = np.cumsum([len(g) for g in grams])
         for k, need in enumerate(self.need):
-            own = np.flatnonzero(who == k)
-            drop = own[np.argsort(-common[own], kind="stable")][: max(0, need - 2) * 2 // 3]
+            first = int(ends[k]) - len(grams[k])
+            drop = first + np.argsort(-common[first : ends[k]], kind="stable")[: max(0, need - 2) * 2 // 3]
             keep[drop] = False
             self.need[k] = max(1, need - len(drop))
         order = np.flatnonzero(keep)[np.argsort(gram[keep], kind="stable")]
@@ -96,25 +87,15 @@ class Finder:
         self.table = np.zeros(1 << 20, bool)
         self.table[self._slot(self.keys)] = True
         self.need_of, self.edits_of = np.array(self.need, np.int64), np.array(self.edits, np.int64)
+        self.longest = max(map(len, self.items))
 
     @staticmethod
     def _slot(gram: np.ndarray) -> np.ndarray:
         return gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
 
-    def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of the best occurrence of each item in each text that has one."""
-        if not self.items:
-            return
-        for k, word in self.short.items():
-            for t, text in enumerate(texts):
-                if b" " + word + b" " in b" " + text + b" ":
-                    start = (b" " + text + b" ").index(b" " + word + b" ")
-                    yield t, k, start, start + len(word), 0
-        if not len(self.keys):
-            return
-        a = np.frombuffer(b"\n".join(texts) + b"\n" * Q, np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        gram = packed(a)
+    def find(self, a: np.ndarray, texts: list[bytes], ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) of the best occurrence of each item in each of the joined texts that has one."""
+        gram = packed(a, self.q)
         place = np.flatnonzero(self.table[self._slot(gram)])
         g = gram[place]
         at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
@@ -126,26 +107,22 @@ class Finder:
         entry = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
         item, j = self.who[entry], self.at[entry]
         diagonal = np.repeat(place, n) - j
-        wide = self.edits_of[item] + 1
-        band = (diagonal + (1 << 20)) // wide  # of band and band - 1, which overlap
-        size = (len(a) + (1 << 21)) * 1
+        band = (diagonal + self.longest) // (self.edits_of[item] + 1) + 1  # of band and band - 1, which overlap
+        size = len(a) + self.longest + 3
         key = item * size + band
         # A cheap count first: enough hits in the band or in its neighbour.
-        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
-        below = ((key - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
-        above = ((key + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+        slot, below, above = ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64) for x in (key, key - 1, key + 1))
         tally = np.bincount(slot, minlength=1 << 22)
         some = np.flatnonzero(tally[slot] + np.maximum(tally[below], tally[above]) >= self.need_of[item])
-        key = np.concatenate([key[some], key[some] - 1])
-        j = np.tile(j[some], 2)
-        pair = np.unique(key * (1 << 20) + np.minimum(j, (1 << 20) - 1)) if len(key) else key
-        key, n = np.unique(pair >> 20, return_counts=True)
-        good = n >= self.need_of[key // size]
+        keys, which = np.unique(np.concatenate([key[some], key[some] - 1]), return_inverse=True)
+        pair = np.unique(which * self.longest + np.tile(j[some], 2))
+        which, n = np.unique(pair // self.longest, return_counts=True)
+        good = keys[which[n >= self.need_of[keys[which] // size]]] if len(which) else keys
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in key[good].tolist():
+        for k in good.tolist():
             item, band = divmod(k, size)
             w, pattern = self.edits[item] + 1, self.items[item]
-            low, high = band * w - (1 << 20), (band + 2) * w - 1 - (1 << 20)
+            low, high = (band - 1) * w - self.longest, (band + 1) * w - 1 - self.longest
             middle = min(max((low + high) // 2 + len(pattern) // 2, 0), len(a) - 1)
             t = min(int(np.searchsorted(ends, middle)), len(texts) - 1)
             for text in {max(t - 1, 0), t, min(t + 1, len(texts) - 1)}:
@@ -163,7 +140,35 @@ class Finder:
                 if found[0] <= self.edits[item]:
                     best[text, item] = min(found, best.get((text, item), found))
         for (text, item), (edits, start, end) in best.items():
-            yield text, item, start, end, edits
+            yield text, self.index[item], start, end, edits
+
+
+class Finder:
+    """Items of a benchmark block: (item_id, normalised text). Empty ones match nothing."""
+
+    def __init__(self, items: list[tuple], rate: float = RATE):
+        self.ids = [i for i, t in items if t]
+        self.items = [np.frombuffer(t, np.uint8) for _, t in items if t]
+        self.short = {k: a.tobytes() for k, a in enumerate(self.items) if len(a) < QS[0]}
+        by_q: dict[int, list] = {}
+        for k, a in enumerate(self.items):
+            if k not in self.short:
+                e = int(rate * len(a))
+                by_q.setdefault(next(q for q in QS if q == 1 or len(a) - q + 1 - e * q > 0), []).append((k, a, e))
+        self.grams = [Grams(some, q) for q, some in by_q.items()]
+
+    def find(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) of the best occurrence of each item in each text that has one."""
+        for k, word in self.short.items():
+            for t, text in enumerate(texts):
+                if b" " + word + b" " in b" " + text + b" ":
+                    start = (b" " + text + b" ").index(b" " + word + b" ")
+                    yield t, k, start, start + len(word), 0
+        if self.grams and texts:
+            a = np.frombuffer(b"\n".join(texts) + b"\n" * QS[0], np.uint8)
+            ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+            for grams in self.grams:
+                yield from grams.find(a, texts, ends)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[list[tuple]]:
@@ -183,18 +188,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     """doc_id, item_id, start, end, edits, similarity: a row for each document and item that occurs in it.
 
     start and end are byte places in the normalised document, edits the least edit distance in bytes (at most rate times the
-    item's length). Null and empty texts match nothing; an item shorter than a q-gram has to occur as whole words. Repeated
-    documents or items give repeated rows. The benchmark is broadcast in blocks of bounded size. Empty tables: no rows.
+    item's length, rounded down). Null and empty texts match nothing; an item of under eight bytes has to occur as whole
+    words. Repeated documents or items give repeated rows. The benchmark is broadcast in blocks of bounded size; of several
+    the results are written one by one, so that one block is held at a time. Empty tables: no rows.
     """
-    out = None
+    out, held = None, None
     docs = pick(docs, "doc_id", "text")
     for block in blocks(benchmark):
-        found = _search(docs, block, rate, benchmark.schema)
+        if held is not None:
+            out = written(out)
+            held.destroy()
+        found, held = _search(docs, block, rate, benchmark.schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(docs: DataFrame, block: list[tuple], rate: float, schema) -> DataFrame:
+def _search(docs: DataFrame, block: list[tuple], rate: float, schema) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(Finder(block, rate))
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = next((f.dataType.simpleString() for f in schema if f.name.lower() == "item_id"), "string")
@@ -210,15 +219,19 @@ def _search(docs: DataFrame, block: list[tuple], rate: float, schema) -> DataFra
 
     names = ["doc_id", "item_id", "start", "end", "edits", "similarity"]
     item_type = pa.string() if item_kind == "string" else pa.int32() if item_kind == "int" else pa.int64()
-    return docs.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, start long, end long, edits long, similarity double")
+    return docs.mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, start long, end long, edits long, similarity double"), shared
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents, with all their columns, in which no item occurs; null and empty texts stay."""
+    held = None
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Finder(block, rate))
+        if held is not None:
+            docs = written(docs)
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(Finder(block, rate))
 
-        def keep(texts: list[str], shared=shared) -> list[bool]:
+        def keep(texts: list[str], shared=held) -> list[bool]:
             bad, before = set(), 0
             for group in in_groups([normalised(t) for t in texts], CHUNK):
                 bad |= {before + found[0] for found in shared.value.find(group)}
