@@ -1,8 +1,10 @@
 """Sharding along a Hilbert curve over quantised metadata, in DataFrame operations only.
 
-Size, language and source are quantised to four bits each; their cell's place on the three-dimensional curve sorts the
-rows, and equal runs of the sorted rows are the shards. Neighbours on the curve are near in every dimension, so the files
-of a shard have narrow ranges in all three and prune on any of them.
+Size, language and source are quantised to four bits each, in an order-keeping way: a level is a range of values, so that
+the least and largest value of a shard's files say what is in them. Sizes have a level per doubling; languages and sources
+are cut into up to 16 ranges of equally many distinct values. The cell's place on the three-dimensional curve sorts the
+rows, and equal runs of the sorted rows are the shards. Neighbours on the curve are near in every dimension, so shards
+have narrow ranges in all three and prune on any of them.
 """
 
 from __future__ import annotations
@@ -44,8 +46,19 @@ def hilbert_cells(bits: int = BITS, dims: int = DIMS) -> list[int]:
     return out
 
 
-def hashed(column: str) -> Column:
-    return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(column)), F.lit(1 << BITS)).cast("int"))
+def cuts(docs: DataFrame, column: str, levels: int = 1 << BITS) -> list:
+    """The least value of each level but the first: ranges of equally many of the distinct values (16 rows are collected)."""
+    values = docs.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).select(column)
+    level = F.expr(f"rank * {levels} div total")
+    least = ranked_rows(values, [column]).groupBy(level.alias("level")).agg(F.min(column).alias("least"))
+    return sorted(r["least"] for r in least.collect())[1:]
+
+
+def leveled(column: str, cut: list) -> Column:
+    """How many cuts a value reaches, spread over the levels; null: 0."""
+    step = (1 << BITS) // (len(cut) + 1)
+    reached = sum((F.coalesce((F.col(column) >= F.lit(c)).cast("int"), F.lit(0)) for c in cut), F.lit(0))
+    return (reached * F.lit(step)).cast("int")
 
 
 def shard_by_hilbert(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -57,12 +70,12 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 16) -> DataFrame:
     its partitions, whose number is what bounds the broadcast.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = pick(docs, "doc_id", "text", "lang", "source")
     level = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(F.log2("size")).cast("int") - 4))
-    cell = F.shiftleft(level, 2 * BITS) + F.shiftleft(hashed("lang"), BITS) + hashed("source")
+    cell = F.shiftleft(level, 2 * BITS) + F.shiftleft(leveled("lang", cuts(docs, "lang")), BITS) + leveled("source", cuts(docs, "source"))
     order = ["hilbert", "doc_id", "text_crc32", "size"]
     rows = (
-        pick(docs, "doc_id", "text", "lang", "source")
-        .select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
+        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
         .select("doc_id", "size", "text_crc32", F.get(F.lit(hilbert_cells()), cell).alias("hilbert"))
     )
     ranked = ranked_rows(rows, order).withColumn("shard", F.expr(f"int(rank * {shards} div total)"))
