@@ -42,12 +42,16 @@ _ACCENTED, _PLAIN = _latin()
 
 
 def build_index(pages: DataFrame, key: str = "url_key", fold=text.fold) -> Index:
-    """Index of pages (key, title, description, text). Term frequencies of a page are counted before anything is shuffled."""
-    fields = [F.struct(F.lit(w).alias("w"), text.all_tokens(fold(F.coalesce(F.col(c), F.lit("")))).alias("tokens")) for c, w in WEIGHTS.items()]
-    parts = pages.select(F.col(key).alias("doc_key"), F.explode(F.array(*fields)).alias("f")).select("doc_key", "f.w", "f.tokens")
-    postings = parts.select("doc_key", "w", F.explode("tokens").alias("term")).groupBy("term", "doc_key").agg(F.sum("w").alias("weighted"), F.count("*").alias("n"))
-    documents = parts.groupBy("doc_key").agg(F.sum(F.size("tokens")).cast("long").alias("length"))
-    return Index(postings, documents)
+    """Index of pages (key, title, description, text). Term frequencies of a page are counted before anything is shuffled.
+
+    A posting carries its page's length, so that scoring never goes back to the table of documents."""
+    fields = {c: text.all_tokens(fold(F.coalesce(F.col(c), F.lit("")))) for c in WEIGHTS}
+    rows = pages.select(F.col(key).alias("doc_key"), *[t.alias(c) for c, t in fields.items()])
+    length = sum((F.size(c) for c in WEIGHTS), F.lit(0)).cast("long")
+    parts = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(c).alias("tokens")) for c, w in WEIGHTS.items()]))
+    tokens = rows.select("doc_key", length.alias("length"), parts.alias("f")).select("doc_key", "length", "f.w", F.explode("f.tokens").alias("term"))
+    postings = tokens.groupBy("term", "doc_key", "length").agg(F.sum("w").alias("weighted"), F.count("*").alias("n"))
+    return Index(postings, rows.select("doc_key", length.alias("length")))
 
 
 def replace_in_index(index: Index, pages: DataFrame, removed: DataFrame, key: str = "url_key") -> Index:
@@ -69,9 +73,11 @@ def bm25(index: Index, terms: list[str], mode: str = "AND") -> DataFrame:
     of_term = found.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = of_term.crossJoin(totals).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "mean")
-    hits = found.join(F.broadcast(weights), "term").join(index.documents, "doc_key")
+    hits = found.join(F.broadcast(weights), "term")
     part = F.col("idf") * F.col("weighted") * (K1 + 1) / (F.col("weighted") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.groupBy("doc_key").agg((-F.sum(part)).alias("fts"), F.count("*").alias("matched"))
+    # Doubles add up to what their order gives: the parts, at most as many as a query has terms, are added from the least on.
+    parts = F.array_sort(F.collect_list(part))
+    scored = hits.groupBy("doc_key").agg((-F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)).alias("fts"), F.count("*").alias("matched"))
     return scored.filter(F.col("matched") == len(terms)) if mode == "AND" else scored
 
 

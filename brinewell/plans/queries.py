@@ -220,7 +220,7 @@ INDEX_SQL = f"""{ctes('pages_in')},
     post AS (SELECT url_key, term, sum(w) AS tf FROM tok WHERE term IN ('the', 'thing', 'of') GROUP BY 1, 2),
     dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
     idf AS (SELECT term, CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END AS idf FROM dfs, avgs),
-    scored AS (SELECT url_key, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS fts, count(*) AS matched FROM post JOIN idf USING (term) JOIN lens USING (url_key), avgs GROUP BY 1),
+    scored AS (SELECT url_key, -list_sum(list_sort(list(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))))) AS fts, count(*) AS matched FROM post JOIN idf USING (term) JOIN lens USING (url_key), avgs GROUP BY 1),
     both_all AS (SELECT url_key, fts FROM scored WHERE matched = 3 ORDER BY fts, url_key LIMIT 300),
     both_any AS (SELECT url_key, fts FROM scored ORDER BY fts, url_key LIMIT 300)"""
 
@@ -229,12 +229,12 @@ def index_of(s, d):
     return search.build_index(frame(s, d, "pages_in"))
 
 
-@query("bm25_and_topk", f"{INDEX_SQL} SELECT url_key, round(fts, 6) AS fts FROM both_all ORDER BY fts, url_key LIMIT 50")
+@query("bm25_and_topk", f"{INDEX_SQL} SELECT url_key, round(both_all.fts, 6) AS fts FROM both_all ORDER BY both_all.fts, url_key LIMIT 50")
 def _(s, d):
     return search.top(search.bm25(index_of(s, d), search.terms_of(QUERY_TERMS)), 50).select(F.col("doc_key").alias("url_key"), F.round("fts", 6).alias("fts"))
 
 
-@query("bm25_or_topk", f"{INDEX_SQL} SELECT url_key, round(fts, 6) AS fts FROM both_any ORDER BY fts, url_key LIMIT 50")
+@query("bm25_or_topk", f"{INDEX_SQL} SELECT url_key, round(both_any.fts, 6) AS fts FROM both_any ORDER BY both_any.fts, url_key LIMIT 50")
 def _(s, d):
     return search.top(search.bm25(index_of(s, d), search.terms_of(QUERY_TERMS), "OR"), 50).select(F.col("doc_key").alias("url_key"), F.round("fts", 6).alias("fts"))
 
@@ -682,7 +682,7 @@ def _(s, d):
         FROM urls u JOIN hosts h ON u.host = h.host JOIN domains d ON u.domain = d.domain""")
 def _(s, d):
     b = analytics.blockers(*parts(s, d, "urls", "hosts", "domains"), NOW)
-    return b.select("url_key", F.when(F.get("blockers", F.lit(0)).startswith("nothing blocks"), 0).otherwise(F.size("blockers")).cast("long").alias("reasons"))
+    return b.select("url_key", F.when(F.get("blockers", F.lit(0)).startswith("FREE"), 0).otherwise(F.size("blockers")).cast("long").alias("reasons"))
 
 
 @query("explain", None)
