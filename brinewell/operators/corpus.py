@@ -20,9 +20,10 @@ def canonical_key(canonical_url: Column, final_url: Column, own_key: Column) ->
 
 
 def first_of_hash(documents: DataFrame) -> DataFrame:
-    """documents with duplicate_of: of equal content the earliest page (then the least key) is the original."""
+    """documents with duplicate_of: of equal content the earliest page (then the least key) is the original;
+    pages without a hash have none."""
     first = documents.groupBy(F.col("content_sha256").alias("c")).agg(F.min(F.struct("fetched_at", "url_key")).alias("first"))
-    rows = documents.join(first, F.col("content_sha256") == F.col("c"))
+    rows = documents.join(first, F.col("content_sha256") == F.col("c"), "left")
     return rows.withColumn("duplicate_of", F.when(F.col("first.url_key") != F.col("url_key"), F.col("first.url_key"))).drop("c", "first")
 
 
@@ -91,11 +92,11 @@ def duplicates(documents: DataFrame) -> DataFrame:
     return simple.unionByName(replayed)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root over edges (a, b): the least name spreads along edges, with pointer jumps, until nothing changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("r"))
         new = label.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "r").alias("root"))
         jump = new.select(F.col("node").alias("n"), F.col("root").alias("rr"))
@@ -104,7 +105,6 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if new.join(old, F.col("node") == F.col("n")).filter("root <> before").isEmpty():
             return new
         label = new
-    return label
 
 
 def removed(documents: DataFrame, keys: DataFrame) -> DataFrame:

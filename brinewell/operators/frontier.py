@@ -27,9 +27,12 @@ def judged(links: DataFrame, frontier: DataFrame, policy: Policy = Policy(), suf
     rows = links.withColumn("p", urls.normalize(F.col("raw"), extra_tracking=policy.tracking_parameters))
     rows = rows.select(*links.columns, F.col("p.url").alias("url"), F.col("p.host").alias("host"), F.col("p.reason").alias("reason")).withColumn("url_key", urls.url_key(F.col("url")))
     names = domain_functions.domains_of(rows.filter("host is not null").select("host"), suffixes or domain_functions.suffix_table(spark))
-    rows = rows.join(names.withColumnRenamed("host", "d_host"), F.col("host") == F.col("d_host"), "left").drop("d_host").withColumn("family", domain_functions.family_of(F.col("domain"), families))
+    # Rejected addresses have no host and no key: each gets one of its own to be joined by, which spreads them and matches nothing.
+    own = F.concat(F.lit("~"), F.col("arrival").cast("string"))
+    rows = rows.withColumns({"h_key": F.coalesce("host", own), "u_key": F.coalesce("url_key", own)})
+    rows = rows.join(names.withColumnRenamed("host", "d_host"), F.col("h_key") == F.col("d_host"), "left").drop("d_host").withColumn("family", domain_functions.family_of(F.col("domain"), families))
     known = frontier.select(F.col("url_key").alias("k"), F.col("priority").alias("known_priority"))
-    rows = rows.join(known, F.col("url_key") == F.col("k"), "left")
+    rows = rows.join(known, F.col("u_key") == F.col("k"), "left")
     hint_ok = urls.language_preferred(urls.language_hint(F.col("url")), policy.preferred_languages)
     judged_source = F.col("source").isin("discovered", "sitemap")
     rows = rows.withColumn("trap", urls.trap_reason(F.col("url")))
@@ -45,14 +48,14 @@ def judged(links: DataFrame, frontier: DataFrame, policy: Policy = Policy(), suf
     )
     priority = scoring.priority_breakdown(F.col("source"), F.col("depth"), F.col("external"), F.col("relevant"), hint_ok, F.contains(F.col("url"), F.lit("?")), policy)
     rows = rows.withColumn("verdict", verdict).withColumn("priority", priority["total"])
-    first = F.min(F.when(F.col("verdict") == "WOULD_ADD", F.col("arrival"))).over(Window.partitionBy("url_key"))
-    return rows.withColumn("verdict", F.when((F.col("verdict") == "WOULD_ADD") & (F.col("arrival") > first), "REPEATED").otherwise(F.col("verdict"))).drop("k", "reason", "trap")
+    first = F.min(F.when(F.col("verdict") == "WOULD_ADD", F.col("arrival"))).over(Window.partitionBy("u_key"))
+    return rows.withColumn("verdict", F.when((F.col("verdict") == "WOULD_ADD") & (F.col("arrival") > first), "REPEATED").otherwise(F.col("verdict"))).drop("k", "reason", "trap", "h_key", "u_key")
 
 
 def admit(links: DataFrame, frontier: DataFrame, domains: DataFrame, health: DataFrame, policy: Policy = Policy(), suffixes: DataFrame | None = None, families: dict | None = None) -> DataFrame:
     """judged() with budgets: a discovered URL is refused when its host, domain, family or the frontier is full by then.
 
-    Host and domain budgets interact, so offers of a family are folded in order of arrival, a family a group; only
+    Host and domain budgets interact, so offers of a family are folded in order of arrival, a family in one task; only
     those of families that could run out of room take that path, all others pass by a count. The frontier's own budget is a
     cut-off in arrival order after that, as pending only grows within a batch.
     """
@@ -72,31 +75,34 @@ def admit(links: DataFrame, frontier: DataFrame, domains: DataFrame, health: Dat
     tight = tight.filter(full).select(F.col("family").alias("tf"))
     loose = facts.join(tight, F.col("family") == F.col("tf"), "left_anti").select("arrival", F.lit("WOULD_ADD").alias("after"))
     folded = facts.join(tight, F.col("family") == F.col("tf"), "left_semi").select("arrival", "host", "domain", "family", "source", "host_urls", "domain_pending", "family_pending", "room")
-    folded = folded.groupBy("family").applyInPandas(_budget_fold(policy), "arrival long, after string")
+    folded = folded.repartition("family").sortWithinPartitions("family", "arrival").mapInPandas(_budget_fold(policy), "arrival long, after string")
     passed = loose.unionByName(folded)
     start = frontier.filter("state = 'PENDING'").agg(F.count("*").alias("p0"))
     return _global_budget(rows, passed, start, policy)
 
 
 def _budget_fold(policy: Policy):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival")
-        hosts, domains, family, out = {}, {}, None, []
-        for r in pdf.itertuples(index=False):
-            h, d = hosts.setdefault(r.host, int(r.host_urls)), domains.setdefault(r.domain, int(r.domain_pending))
-            family = int(r.family_pending) if family is None else family
-            verdict = "WOULD_ADD"
-            if r.source in ("discovered", "sitemap"):
-                if h >= policy.max_urls_per_host:
-                    verdict = "HOST_BUDGET"
-                elif d >= r.room:
-                    verdict = "DOMAIN_BUDGET"
-                elif r.family != r.domain and family >= policy.max_pending_per_family:
-                    verdict = "FAMILY_BUDGET"
-            if verdict == "WOULD_ADD":
-                hosts[r.host], domains[r.domain], family = h + 1, d + 1, family + 1
-            out.append(verdict)
-        return pd.DataFrame({"arrival": pdf["arrival"].to_numpy(), "after": out})
+    def fold(batches):
+        """Offers sorted by family and arrival, a batch at a time: what is held are the counts of one family's hosts and domains."""
+        hosts, domains, family, count = {}, {}, None, 0
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.family != family:
+                    hosts, domains, family, count = {}, {}, r.family, int(r.family_pending)
+                h, d = hosts.setdefault(r.host, int(r.host_urls)), domains.setdefault(r.domain, int(r.domain_pending))
+                verdict = "WOULD_ADD"
+                if r.source in ("discovered", "sitemap"):
+                    if h >= policy.max_urls_per_host:
+                        verdict = "HOST_BUDGET"
+                    elif d >= r.room:
+                        verdict = "DOMAIN_BUDGET"
+                    elif r.family != r.domain and count >= policy.max_pending_per_family:
+                        verdict = "FAMILY_BUDGET"
+                if verdict == "WOULD_ADD":
+                    hosts[r.host], domains[r.domain], count = h + 1, d + 1, count + 1
+                out.append(verdict)
+            yield pd.DataFrame({"arrival": pdf["arrival"].to_numpy(), "after": out})
 
     return fold
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import domains as domain_functions
 from ..functions import scoring, urls
 from ..functions.scoring import Policy
-from ..operators import corpus, frontier
+from ..operators import corpus, frontier, search
+from ..operators.ranks import ranked
 from ..sources.catalog import Catalog
 from ..sources.shared import checkpointed
 from ..sources.schemas import TABLES, conform, valid_result
@@ -55,7 +56,11 @@ def apply_results(state: dict[str, DataFrame], results: DataFrame, now: int, pol
     u, docs, hosts, links = (state[t] for t in ("urls", "documents", "hosts", "links"))
     leased = u.filter("state = 'IN_FLIGHT'")
     failures = hosts.select(F.col("host").alias("fh"), "failures")
-    every = checkpointed(checked(leased, results).join(failures, F.col("host") == F.col("fh"), "left").withColumn("referring", F.lit(0).cast("long")))
+    to_leased = links.join(leased.select(F.col("url_key").alias("dst_key")), "dst_key", "left_semi")
+    linkers = domain_functions.domains_of(to_leased.select(F.col("src_host").alias("host")).unionByName(to_leased.select(F.col("dst_host").alias("host"))), suffixes)
+    referring = search.inbound_domains(to_leased, linkers).select(F.col("dst_key").alias("rk"), "inbound")
+    found = checked(leased, results).join(failures, F.col("host") == F.col("fh"), "left").join(referring, F.col("url_key") == F.col("rk"), "left")
+    every = checkpointed(found.withColumn("referring", F.coalesce("inbound", F.lit(0)).cast("long")).drop("rk", "inbound"))
     moved = frontier.transition(every.withColumn("outcome", F.when(F.col("problem").isNotNull(), "FETCH_FAILED").otherwise(F.col("outcome"))).withColumn("retryable", F.when(F.col("problem").isNotNull(), F.lit(True)).otherwise(F.col("retryable"))), now, policy)
     moved = checkpointed(moved.withColumn("outcome", F.when(F.col("problem").isNotNull(), F.concat(F.lit("INVALID_RESULT:"), "problem")).otherwise(F.col("outcome"))).withColumn("counts_as_error", F.col("counts_as_error") & F.col("problem").isNull()))
     after = checkpointed(frontier.applied(u, moved, now))
@@ -79,14 +84,14 @@ def apply_results(state: dict[str, DataFrame], results: DataFrame, now: int, pol
     graph = out.join(judged.filter("kind <> 'duplicate' and not noindex").select(F.col("url_key").alias("j"), F.col("host").alias("src_host")), F.col("src_key") == F.col("j")).select("src_key", "seq", urls.url_key(F.col("url")).alias("dst_key"), F.col("url").alias("dst_url"), "src_host", "dst_host")
     replaced = corpus.replace_links(links, judged.filter("kind <> 'duplicate'").select(F.col("url_key").alias("src_key")).unionByName(gone.select(F.col("url_key").alias("src_key"))), graph)
 
-    depth = judged.select(F.col("url_key").alias("s"), "depth")
+    depth = judged.select(F.col("url_key").alias("s"), "depth", F.col("fetched_at").alias("at"))
     follow = frontier.choose_links(out, policy).join(out.select(F.col("src_key").alias("ks"), F.col("url").alias("ku"), "relevant").groupBy("ks", "ku").agg(F.max("relevant").alias("relevant")), (F.col("src_key") == F.col("ks")) & (F.col("url") == F.col("ku"))).join(depth, F.col("src_key") == F.col("s"))
-    offers = follow.select(F.col("url").alias("raw"), F.lit("PUBLIC").alias("queue"), F.lit("discovered").alias("source"), (F.col("depth") + 1).alias("depth"), (F.col("kind") == "external").alias("external"), "relevant", F.concat_ws("#", "src_key", F.lpad("turn", 6, "0")).alias("order"))
-    redirects = every.filter("outcome = 'REDIRECT'").select(F.col("redirect_target").alias("raw"), "queue", F.lit("redirect").alias("source"), "depth", F.lit(False).alias("external"), F.lit(False).alias("relevant"), F.col("url_key").alias("order"))
+    offers = follow.select(F.col("url").alias("raw"), F.lit("PUBLIC").alias("queue"), F.lit("discovered").alias("source"), (F.col("depth") + 1).alias("depth"), (F.col("kind") == "external").alias("external"), "relevant", F.concat_ws("#", "src_key", F.lpad("turn", 6, "0")).alias("order"), "at")
+    redirects = every.filter("outcome = 'REDIRECT'").select(F.col("redirect_target").alias("raw"), "queue", F.lit("redirect").alias("source"), "depth", F.lit(False).alias("external"), F.lit(False).alias("relevant"), F.col("url_key").alias("order"), F.col("fetched_at_ms").alias("at"))
     sitemaps = frontier.sitemap_urls(every.filter("outcome = 'FETCHED' and source = 'sitemap'").select(F.col("url_key").alias("file_key"), "host", F.coalesce("page.text", F.lit("")).alias("body")), names, suffixes=suffixes)
-    listed = sitemaps.select(F.col("url").alias("raw"), F.lit("PUBLIC").alias("queue"), F.lit("sitemap").alias("source"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("external"), F.lit(False).alias("relevant"), F.concat_ws("#", "file_key", F.lpad("seq", 6, "0")).alias("order"))
-    offers = checkpointed(offers.unionByName(redirects).unionByName(listed))
-    arrivals = offers.withColumn("arrival", F.xxhash64("order", "raw"))  # an order that a rerun of the batch repeats
+    sitemaps = sitemaps.join(every.select(F.col("url_key").alias("fk"), F.col("fetched_at_ms").alias("at")), F.col("file_key") == F.col("fk"))
+    listed = sitemaps.select(F.col("url").alias("raw"), F.lit("PUBLIC").alias("queue"), F.lit("sitemap").alias("source"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("external"), F.lit(False).alias("relevant"), F.concat_ws("#", "file_key", F.lpad("seq", 6, "0")).alias("order"), "at")
+    arrivals = checkpointed(ranked(offers.unionByName(redirects).unionByName(listed), ["at", "order", "raw"], "arrival").withColumn("arrival", F.col("arrival").cast("long")))
 
     counters = after.groupBy("domain").agg(F.count_if(F.col("state") == "PENDING").alias("pending"))
     known = state["domains"].join(counters, "domain", "full").fillna({"pending": 0}).withColumn("family", F.coalesce("family", domain_functions.family_of(F.col("domain"), families)))
@@ -157,8 +162,7 @@ def run(spark: SparkSession, catalog: Catalog, fetch: Callable[[DataFrame], Data
         state = {t: catalog.read(t) for t in TABLES_USED}
         view = _lease_view(state)
         leases = checkpointed(frontier.lease(state["urls"], state["hosts"], view, state["crawl_health"], now, slots, policy, turn * slots, families))
-        taken = leases.groupBy(F.col("domain").alias("d")).agg(F.count("*").alias("n"))
-        domains = state["domains"].join(taken, F.col("domain") == F.col("d"), "left").withColumn("leased", F.coalesce("leased", F.lit(0)) + F.coalesce("n", F.lit(0))).drop("d", "n")
+        domains = charged(state, view, leases, now, policy)
         catalog.commit({"urls": conform(frontier.claimed(state["urls"], leases, now), "urls"), "domains": conform(domains, "domains")})
         state = {t: catalog.read(t) for t in TABLES_USED}
         results = checkpointed(fetch(leases))
@@ -167,6 +171,21 @@ def run(spark: SparkSession, catalog: Catalog, fetch: Callable[[DataFrame], Data
     return out
 
 
+def charged(state: dict[str, DataFrame], view: DataFrame, leases: DataFrame, now: int, policy: Policy = Policy()) -> DataFrame:
+    """domains after leases: each counts, and each of a waiting public URL costs its domain a turn, 1 / weight of virtual time.
+
+    A domain that sat idle starts at the front of the schedule, the least virtual time of those that wait."""
+    fresh = leases.join(state["urls"].filter("state = 'PENDING' and queue = 'PUBLIC'").select("url_key"), "url_key", "left_semi")
+    taken = leases.groupBy(F.col("domain").alias("d")).agg(F.count("*").alias("n"))
+    turns = fresh.groupBy(F.col("domain").alias("t")).agg(F.count("*").alias("turns"))
+    weight = scoring.domain_weight(F.col("done"), F.col("yield"), F.col("yield_at"), F.col("ref_domains"), F.lit(now), policy)["weight"]
+    weights = view.select(F.col("domain").alias("w"), weight.alias("weight"))
+    front = view.filter("pending > 0").agg(F.coalesce(F.min("vtime"), F.lit(0.0)).alias("front"))
+    rows = state["domains"].join(taken, F.col("domain") == F.col("d"), "left").join(turns, F.col("domain") == F.col("t"), "left").join(weights, F.col("domain") == F.col("w"), "left").crossJoin(F.broadcast(front))
+    moved = F.greatest(F.coalesce("vtime", F.lit(0.0)), F.col("front")) + F.col("turns") / F.col("weight")
+    return rows.withColumn("leased", F.coalesce("leased", F.lit(0)) + F.coalesce("n", F.lit(0))).withColumn("vtime", F.when(F.col("turns").isNotNull(), moved).otherwise(F.col("vtime"))).drop("d", "n", "t", "turns", "w", "weight", "front")
+
+
 def _lease_view(state: dict[str, DataFrame]) -> DataFrame:
     from ..operators.analytics import domain_counters
 
