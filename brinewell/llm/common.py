@@ -11,16 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-#: Bytes of an Arrow batch: what a Python worker and its task hold at a time, however long the rows are.
-BATCH = 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit on the bytes of an Arrow batch to BATCH, where it is above that."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH:
-        spark.conf.set(key, BATCH)
+from ..session import BATCH as BATCH
+from ..session import bounded_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

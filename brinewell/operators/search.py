@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text, urls
+from ..session import bounded_batches
 
 #: BM25 constants, column weights, pool and result sizes, score of a strong result, factor of a host's next result.
 K1, B = 1.2, 0.75
@@ -45,6 +46,7 @@ def build_index(pages: DataFrame, key: str = "url_key", fold=text.fold) -> Index
     """Index of pages (key, title, description, text). Term frequencies of a page are counted before anything is shuffled.
 
     A posting carries its page's length, so that scoring never goes back to the table of documents."""
+    bounded_batches(pages.sparkSession)
     fields = {c: text.all_tokens(fold(F.coalesce(F.col(c), F.lit("")))) for c in WEIGHTS}
     rows = pages.select(F.col(key).alias("doc_key"), *[t.alias(c) for c, t in fields.items()])
     length = sum((F.size(c) for c in WEIGHTS), F.lit(0)).cast("long")
@@ -125,6 +127,7 @@ def share(terms: list[str], found: Column) -> Column:
 
 def score_candidates(pages: DataFrame, chosen: DataFrame, terms: list[str], now_ms: int, inbound: DataFrame | None = None, key: str = "url_key", fold=text.fold) -> DataFrame:
     """Every signal and the score of the chosen pages (at most two pools of rows, so they are broadcast to the pages)."""
+    bounded_batches(pages.sparkSession)
     rows = pages.join(F.broadcast(chosen), pages[key] == chosen["doc_key"])
     rows = rows.join(inbound, F.col(key) == inbound["dst_key"], "left") if inbound is not None else rows.withColumn("inbound", F.lit(0).cast("long"))
     host, path = urls.host_of(F.col("url")), text.decoded(urls.path_of(F.col("url")))
@@ -174,15 +177,23 @@ def search(pages: DataFrame, index: Index, query: str, now_ms: int, links: DataF
     return ranked.orderBy(F.desc("score"), "url").limit(MAX_RESULTS)
 
 
+def counts() -> list[Column]:
+    strong = (F.col("matched_terms") == F.col("total_terms")) & (F.col("score") >= STRONG_SCORE)
+    return [F.count("*").alias("total"), F.count_if(strong).alias("strong"), F.coalesce(F.max("score"), F.lit(0.0)).alias("best")]
+
+
 def summary(ranked: DataFrame) -> DataFrame:
     """total, strong and best of a ranked list."""
-    strong = (F.col("matched_terms") == F.col("total_terms")) & (F.col("score") >= STRONG_SCORE)
-    return ranked.agg(F.count("*").alias("total"), F.count_if(strong).alias("strong"), F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))
+    return ranked.agg(*counts())
 
 
 def response(ranked: DataFrame, documents: int, pending: int, limit: int = 10, offset: int = 0) -> DataFrame:
-    """One row with the JSON answer of a search: page of hits, counts, and how complete the index is."""
+    """One row with the JSON answer of a search: page of hits, counts, and how complete the index is. The list, at most
+    MAX_RESULTS rows, is made once for all of them."""
     hit = F.struct("score", "url", "title", "snippet", "host", F.struct("matched_terms", "total_terms", "title_match", "url_match", "phrase_match", "relevance", "freshness", "inbound_hosts").alias("signals"))
-    page = page_of(ranked, limit, offset).agg(F.reverse(F.array_sort(F.collect_list(hit))).alias("hits"))
+    first, size = min(max(0, offset), MAX_RESULTS), min(max(1, limit), 50)
+    at = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("score"), "url")
+    listed = F.slice(F.array_sort(F.collect_list(F.struct(at.alias("at"), hit.alias("hit")))), first + 1, size)
+    page = F.reverse(F.array_sort(F.transform(listed, lambda x: x["hit"])))
     state = "empty" if documents == 0 else "partial" if pending else "ready"
-    return page.crossJoin(summary(ranked)).select(F.to_json(F.struct("total", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), "strong", "best", "hits", F.struct(F.lit(state).alias("state"), F.lit(documents).alias("documents")).alias("index"))).alias("response"))
+    return ranked.agg(*counts(), page.alias("hits")).select(F.to_json(F.struct("total", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), "strong", "best", "hits", F.struct(F.lit(state).alias("state"), F.lit(documents).alias("documents")).alias("index"))).alias("response"))

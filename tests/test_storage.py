@@ -123,3 +123,14 @@ def test_incremental_index(spark):
     assert fingerprint(same.postings.select("term", "doc_key", "weighted", "n")) == fingerprint(whole.postings.select("term", "doc_key", "weighted", "n"))
     gone = search.replace_in_index(whole, p.limit(0), p.filter("doc_id < 50").select(F.col("url_key").alias("doc_key")))
     assert gone.documents.count() == whole.documents.count() - p.filter("doc_id < 50").count()
+
+
+def test_indexing_bounds_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 256 << 20)
+        search.build_index(sample.frame(spark, SF, "pages_in"))
+        assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+    finally:
+        spark.conf.set(key, before)
