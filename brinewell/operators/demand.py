@@ -117,7 +117,12 @@ def link_source(context: SearchContext, suffixes: DataFrame | None = None) -> Da
     """Of the five best hits (rank, url_key, host) three links each that were never fetched: to other domains first, then those that name a term."""
     spark = context.frontier.sparkSession
     hits = context.hits.orderBy("rank").limit(HITS).select(F.col("rank").alias("hit"), F.col("url_key").alias("hk"), F.col("host").alias("hh"))
-    rows = context.links.join(F.broadcast(hits), F.col("src_key") == F.col("hk")).join(context.frontier.select(F.col("url_key").alias("known")), F.col("dst_key") == F.col("known"), "left_anti")
+    # A semi join passes below the distinct that a table of links may be made by, an inner join doesn't; and of the frontier only
+    # what the hits link to is dealt out.
+    links = context.links.join(F.broadcast(hits.select("hk")), F.col("src_key") == F.col("hk"), "left_semi")
+    named_keys = links.select(F.col("dst_key").alias("nk")).distinct()
+    known = context.frontier.select(F.col("url_key").alias("known")).join(F.broadcast(named_keys), F.col("known") == F.col("nk"), "left_semi")
+    rows = links.join(F.broadcast(hits), F.col("src_key") == F.col("hk")).join(known, F.col("dst_key") == F.col("known"), "left_anti")
     names = domain_functions.domains_of(rows.select(F.col("dst_host").alias("host")).unionByName(rows.select(F.col("hh").alias("host"))), suffixes or domain_functions.suffix_table(spark))
     rows = rows.join(names.select(F.col("host").alias("h1"), F.col("domain").alias("there")), F.col("dst_host") == F.col("h1")).join(names.select(F.col("host").alias("h2"), F.col("domain").alias("home")), F.col("hh") == F.col("h2"))
     named = F.lit(False)

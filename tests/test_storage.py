@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinewell import cli
-from brinewell.operators import analytics, frontier, reports, search
+from brinewell.operators import analytics, demand, frontier, reports, search
 from brinewell.plans import sample
 from brinewell.sources import config, inputs, schemas
 from brinewell.sources.catalog import Catalog, backup, fingerprint
@@ -134,3 +134,20 @@ def test_indexing_bounds_arrow_batches(spark):
         assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_link_source_drops_links_of_other_pages_before_they_are_made_distinct(spark):
+    hits = spark.createDataFrame([(1, "p1", "h1.d1.example")], "rank int, url_key string, host string")
+    context = demand.SearchContext(sample.frame(spark, SF, "urls"), sample.frame(spark, SF, "links"), ["example"], hits, 40)
+    plan = demand.link_source(context)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(plan) if "Relation" in line and "l_suppkey" in line]
+    assert scans
+    for i in scans:
+        above, at = [], depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < at:
+                above.append(line)
+                at = depth(line)
+        first = next(n for n, line in enumerate(above) if "Aggregate" in line)
+        assert any("LeftSemi" in line for line in above[:first])
