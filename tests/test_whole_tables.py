@@ -45,3 +45,11 @@ def test_every_document_is_tracked(spark):
         want[hashlib.sha256(url.encode()).hexdigest()] = (at if stored else at + 1000, at if stored and not changed else at + 1000, int(changed))
     got = {r["url_key"]: (r["first_seen_at"], r["last_changed_at"], r["change_count"]) for r in QUERIES["change_tracking_all"](spark, SF).collect()}
     assert got == want
+
+
+def test_offers_are_numbered_by_what_they_are_made_of(spark):
+    from brinewell.plans.queries import offers
+
+    plan = offers(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("l_shipdate" in line or "l_tax" in line for line in windows)
