@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, slices, without, written
-from .graph import connected_components
+from .graph import connected_components, spanning
 
 #: Comparisons that an anchor makes at a time.
 COMPARED = 1 << 22
@@ -166,21 +166,6 @@ def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member linked to each of n members over the links a-b."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def links(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what of an anchor's members is within threshold: fewer than members, though pairs may be many."""
     n, own = len(fps), np.flatnonzero(home)
@@ -190,7 +175,7 @@ def links(fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray
         a, b = np.nonzero(np.bitwise_count(fps[some, None] ^ fps[None, :]) <= threshold)
         new = label[some[a]] != label[b]
         if new.any():
-            label = _spanning(n, np.concatenate([some[a[new]], np.arange(n)]), np.concatenate([b[new], label]))
+            label = spanning(n, np.concatenate([some[a[new]], np.arange(n)]), np.concatenate([b[new], label]))
     other = np.flatnonzero(label != np.arange(n))
     return fps[other], fps[label[other]]
 

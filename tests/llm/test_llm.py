@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from brinewell.llm import bpe, chat, decontam, exact_dedup, langid, pii, sharding, simhash, suffix_dedup, warc
+from brinewell.llm import bpe, chat, decontam, exact_dedup, graph, langid, pii, sharding, simhash, suffix_dedup, warc
 from brinewell.llm.graph import connected_components
 from brinewell.llm.suffix_sort import suffix_array
 
@@ -150,6 +150,23 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_bounded_graph_take_no_rounds(spark, monkeypatch):
+    r = random.Random(9)
+    path = [r.randrange(-(1 << 62), 1 << 62) for _ in range(60)]
+    edges = [*zip(path, path[1:]), *((i, i - i % 7) for i in range(200)), *((r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    jobs = lambda g: len(spark.sparkContext.statusTracker().getJobIdsForGroup(g))
+    spark.sparkContext.setJobGroup("bounded", "")
+    one = connected_components(df)
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs("bounded") <= 6  # rounds take some eight jobs each
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    spark.sparkContext.setJobGroup("rounds", "")
+    many = connected_components(df)
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(one.collect()) == sorted(many.collect()) and jobs("rounds") > 6
+
+
 def test_bpe_equals_the_library(docs, none, monkeypatch):
     from tokenizers import Tokenizer
 
